@@ -16,7 +16,7 @@ gives no rows; all further columns are kept as they are.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
@@ -25,30 +25,27 @@ from .common import table
 MIN_LINES = 2
 
 
-def _cut_sql() -> str:
-    """1-based numbers of the lines that begin a chunk, from the rolling hashes r (r[i]: of lines i + 1 and i + 2)."""
-    left = "if(i = 0, r[i] < 9223372036854775807, r[i] < r[i - 1])"
-    right = "if(i = size(r) - 1, true, r[i] < r[i + 1])"
-    return f"concat(array(1), if(size(r) = 0, array(), transform(filter(sequence(0, size(r) - 1), i -> {left} and {right}), i -> i + 2)))"
+def _let(name: str, value: str, then: str) -> str:
+    """``then`` with ``name`` bound to ``value``, which is computed once for a row: a lambda over an array of one."""
+    return f"transform(array({value}), {name} -> {then})[0]"
 
 
-def chunks(text: Column, df: DataFrame) -> DataFrame:
-    """Adds c: the text's chunks in order (their lines joined by \\n), and multi: whether each can be removed."""
-    out = df.withColumn("_l", F.split(text, "\n", -1))
-    out = out.withColumn("_h", F.transform("_l", lambda x: F.xxhash64(x)))
-    out = out.withColumn("_r", F.expr("if(size(_h) < 2, array(), transform(sequence(0, size(_h) - 2), i -> xxhash64(_h[i], _h[i + 1])))").cast("array<bigint>"))
-    out = out.withColumn("_s", F.expr(_cut_sql().replace("r[", "_r[").replace("size(r)", "size(_r)")).cast("array<int>"))
-    out = out.withColumn("_p", F.expr("transform(_s, (b, k) -> slice(_l, b, coalesce(try_element_at(_s, k + 2), size(_l) + 1) - b))"))
-    return out.select(
-        *df.columns, F.size("_l").alias("_n"),
-        F.expr("transform(_p, p -> struct(array_join(p, '\\n') as t, size(p) as k, size(filter(p, x -> trim(x) <> '')) >= " + str(MIN_LINES) + " as multi))").alias("_c"),
-    )
+def chunks_sql(text: str = "text") -> str:
+    """The text's chunks in order: t (lines joined by \\n), k (how many lines), multi (whether it can be removed)."""
+    piece = f"struct(array_join(p, '\\n') as t, size(p) as k, size(filter(p, x -> trim(x) <> '')) >= {MIN_LINES} as multi)"
+    chunk = _let("p", "slice(l, b, coalesce(try_element_at(s, k + 2), size(l) + 1) - b)", piece)
+    # r[i] is the rolling hash of lines i and i + 1; s holds the 1-based numbers of the lines that begin a chunk
+    least = "(i = 0 or r[i] < r[i - 1]) and (i = size(r) - 1 or r[i] < r[i + 1])"
+    begin = f"concat(array(1), if(size(r) = 0, cast(array() as array<int>), transform(filter(sequence(0, size(r) - 1), i -> {least}), i -> i + 2)))"
+    roll = "if(size(h) < 2, cast(array() as array<bigint>), transform(sequence(0, size(h) - 2), i -> xxhash64(h[i], h[i + 1])))"
+    body = _let("s", begin, f"transform(s, (b, k) -> {chunk})")
+    return _let("l", f"split({text}, '\\n', -1)", _let("h", "transform(l, x -> xxhash64(x))", _let("r", roll, body)))
 
 
 def _rows(documents: DataFrame) -> DataFrame:
     """(doc_id, th, no, h, t): the removable chunks, once for each text."""
-    docs = chunks(F.col("text"), documents.select("doc_id", "text").where("text is not null")).withColumn("th", F.xxhash64("text"))
-    rows = docs.select("doc_id", "th", F.posexplode("_c").alias("no", "c"))
+    docs = documents.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), "text")
+    rows = docs.select("doc_id", "th", F.posexplode(F.expr(chunks_sql())).alias("no", "c"))
     return rows.where("c.multi").select("doc_id", "th", "no", F.xxhash64("c.t").alias("h"), F.col("c.t").alias("t"))
 
 
@@ -74,13 +71,12 @@ def line_dedup(documents: DataFrame) -> DataFrame:
     gone = repeats(documents).withColumnsRenamed({"doc_id": "_id", "th": "_th"})
     keyed = documents.withColumn("_t", F.xxhash64("text"))
     both = keyed.join(gone, (F.col("doc_id") == F.col("_id")) & (F.col("_t") == F.col("_th")), "left")
-    out = chunks(F.col("text"), both)
-    out = out.withColumn("_keep", F.expr("if(drop is null, _c, filter(_c, (x, i) -> not array_contains(drop, i)))"))
-    out = out.withColumn("_new", F.expr("if(drop is null, text, array_join(transform(_keep, x -> x.t), '\\n'))"))
-    cols = [F.col("_new").alias("text") if c == "text" else F.length("_new").cast(documents.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in documents.columns]
-    lines = F.expr("aggregate(_keep, 0L, (a, x) -> a + x.k)")
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.col("_n")).cast("long")
-    return out.select(*cols, n.alias("n_lines"), (n - F.coalesce(lines, F.lit(0))).alias("n_removed"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_chunks_removed"))
+    left = _let("q", "filter(c, (x, i) -> drop is null or not array_contains(drop, i))", "struct(array_join(transform(q, x -> x.t), '\\n') as t, aggregate(c, 0L, (a, x) -> a + x.k) as n, aggregate(q, 0L, (a, x) -> a + x.k) as kept)")
+    out = both.withColumn("_x", F.expr(f"if(text is null, null, {_let('c', chunks_sql(), left)})"))
+    new = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.col("_x.t"))
+    cols = [new.alias("text") if c == "text" else F.length(new).cast(documents.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in documents.columns]
+    n = F.coalesce("_x.n", F.lit(0).cast("long"))
+    return out.select(*cols, n.alias("n_lines"), (n - F.coalesce("_x.kept", F.lit(0).cast("long"))).alias("n_removed"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_chunks_removed"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
