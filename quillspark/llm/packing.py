@@ -16,10 +16,11 @@ an empty table gives no rows; further columns are ignored.
 from __future__ import annotations
 
 import functools
+import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -31,38 +32,60 @@ from .common import cut, table
 
 MAX_LEN, END_ID, SLICES = 2048, 1, 1024
 VOCABULARY = "word_bpe_49k.json"
+_END = np.array([END_ID], dtype="<u4").tobytes()
 #: Texts of these characters alone are tokenized word by word: white space always separates tokens there and no character composes with another.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ]*").fullmatch
+#: Of these a word's pieces are runs of letters, single digits and runs of other marks.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+_SIMPLE = re.compile("[!-&(-~À-ÖØ-öø-ÿ]+").fullmatch
+_PIECES = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^A-Za-z0-9À-ÖØ-öø-ÿ]+").findall
+#: How the model writes the bytes that Latin-1 has no visible character for: from U+0100 on, in order.
+_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or 174 <= b))}
 #: Words that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 
 @functools.cache
 def _tokenizer(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
 
 
 class WordMemo(dict):
-    """Token ids of words, as the tokenizer gives them, each computed once."""
+    """Token ids of words, as the tokenizer gives them, each computed once; as bytes of 32-bit numbers."""
 
     def __init__(self, path: str):
         self.tok = _tokenizer(path)
 
-    def __missing__(self, word: str) -> tuple:
-        self[word] = ids = tuple(self.tok.encode(word, add_special_tokens=False).ids)
+    def _piece(self, p: str) -> bytes:
+        """The ids of one piece of the pre-tokenizer's: letters go to the model as they are, others through the tokenizer."""
+        got = self.get(p)
+        if got is None:
+            if _LETTERS(p):
+                got = array("I", [t.id for t in self.tok.model.tokenize(p.lower().encode().decode("latin-1").translate(_BYTES))]).tobytes()
+            else:
+                got = array("I", self.tok.encode(p, add_special_tokens=False).ids).tobytes()
+            self[p] = got
+        return got
+
+    def __missing__(self, word: str) -> bytes:
+        """A word of letters, digits and marks is cut as the pre-tokenizer cuts it; only contractions and other scripts need its own eyes."""
+        if _LETTERS(word) or not _SIMPLE(word):
+            return self._piece(word)
+        self[word] = ids = b"".join(map(self._piece, _PIECES(word)))
         return ids
 
-    def encode(self, text: str) -> np.ndarray:
-        """The ids of a text, as one call of the tokenizer would give them."""
-        if not _PLAIN(text) or "<|" in text:
-            return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4")
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as one call of the tokenizer would give them."""
+        plain = [bool(_PLAIN(t)) and "<|" not in t for t in texts]
+        words = [(t.lower() if t.isascii() else t).split() if p else [] for t, p in zip(texts, plain, strict=True)]
         if len(self) > REMEMBERED:
             self.clear()
-        if text.isascii():
-            text = text.lower()
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, text.split())), dtype="<u4")
+        get = self.__getitem__
+        whole = lambda t: np.array(self.tok.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return [b"".join(map(get, w)) if p else whole(t) for t, w, p in zip(texts, words, plain, strict=True)]
 
 
 @functools.cache
@@ -81,16 +104,17 @@ def _pieces(path: str):
         tok = memo(path)
         for b in batches:
             docs, start, length, crc, total = [], [], [], [], []
-            for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ids = np.append(tok.encode(t or ""), np.uint32(END_ID)).astype("<u4")
-                raw, at = ids.tobytes(), 0
-                for k in lengths(len(ids)):
-                    docs.append(d)
-                    start.append(at)
-                    length.append(k)
-                    crc.append(zlib.crc32(raw[4 * at : 4 * (at + k)]))
-                    at += k
-                total += [len(ids)] * (len(docs) - len(total))
+            ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
+            for i in range(0, len(ids), 500):
+                for d, raw in zip(ids[i : i + 500], tok.encode([t or "" for t in texts[i : i + 500]]), strict=True):
+                    raw, at = raw + _END, 0
+                    for k in lengths(len(raw) // 4):
+                        docs.append(d)
+                        start.append(at)
+                        length.append(k)
+                        crc.append(zlib.crc32(raw[4 * at : 4 * (at + k)]))
+                        at += k
+                    total += [at] * (len(docs) - len(total))
             yield pa.record_batch([pa.array(docs, pa.int64()), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return run
