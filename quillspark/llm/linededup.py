@@ -6,7 +6,8 @@ pairs on either side: it depends on four lines only, so the cuts inside a shared
 are the same wherever it stands, and no chunk between two cuts has fewer than two lines.
 A chunk of two or more non-blank lines that occurs elsewhere too, in the same text or in
 another, is removed everywhere but at its first place (least doc_id, then position).
-Chunks meet by hash; those that share one are grouped by their bytes, which decides.
+Chunks meet by hash; the bytes of those that share one are compared, and where they differ
+a digest takes part in the key.
 
 Cases: a null text stays null and has no lines; an empty text has one empty line; a text
 of one line is a chunk of one line and stays; rows that repeat a doc_id are each judged by
@@ -19,10 +20,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 #: Non-blank lines that a chunk needs to be removable.
 MIN_LINES = 2
+#: What chunks meet by.
+HASH = "xxhash64(c.t)"
 
 
 def _let(name: str, value: str, then: str) -> str:
@@ -42,24 +45,27 @@ def chunks_sql(text: str = "text") -> str:
     return _let("l", f"split({text}, '\\n', -1)", _let("h", "transform(l, x -> xxhash64(x))", _let("r", roll, body)))
 
 
-def _rows(documents: DataFrame) -> DataFrame:
-    """(doc_id, th, no, h, t): the removable chunks, once for each text."""
-    docs = documents.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), "text")
-    rows = docs.select("doc_id", "th", F.posexplode(F.expr(chunks_sql())).alias("no", "c"))
-    return rows.where("c.multi").select("doc_id", "th", "no", F.xxhash64("c.t").alias("h"), F.col("c.t").alias("t"))
-
-
 def repeats(documents: DataFrame) -> DataFrame:
     """(doc_id, th, drop): for each text that loses chunks, their numbers."""
-    rows = _rows(documents)
-    # counts by hash are partial sums before the shuffle; a join that AQE can split then finds the chunks with a partner
-    often = rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    same = rows.join(often, "h", "left_semi")
-    first = same.groupBy("h", "t").agg(F.min("doc_id").alias("first"))
-    marked = same.join(first, ["h", "t"]).select("doc_id", "th", "no", "h", "t", "first")
-    # of the least document's own places the first stays: within a document the number of places is bounded by its lines
-    per = marked.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("no", F.sha2("t", 256).alias("g"), (F.col("first") < F.col("doc_id")).alias("later")))).alias("m"))
-    gone = F.expr("transform(filter(m, (x, i) -> x.later or exists(slice(m, 1, i), y -> y.g = x.g)), x -> x.no)")
+    docs = documents.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), "text")
+    chunk = docs.select("doc_id", "th", F.posexplode(F.expr(chunks_sql())).alias("no", "c")).where("c.multi")
+    narrow = chunk.select("doc_id", "th", "no", F.expr(HASH).alias("h"))
+    # counts by hash are summed before they are shuffled; a join that AQE can split then finds the chunks with a partner
+    often = narrow.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    met = cut(narrow.join(often, "h", "left_semi").select("doc_id", "th", "no", "h"))
+    # only texts that hold such chunks are read again, for their bytes
+    some = docs.join(met.groupBy("doc_id", "th").agg(F.collect_set("no").alias("nos")), ["doc_id", "th"])
+    same = some.select("doc_id", "th", "nos", F.posexplode(F.expr(chunks_sql())).alias("no", "c")).where("array_contains(nos, no)")
+    same = same.select("doc_id", "th", "no", F.expr(HASH).alias("h"), F.col("c.t").alias("t"))
+    unlike = cut(same.groupBy("h").agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a <> b").select("h"))
+    keyed = met.withColumn("g", F.lit(""))
+    if not unlike.isEmpty():  # a hash of several texts: there a digest tells them apart
+        keyed = same.join(unlike.withColumn("many", F.lit(True)), "h", "left").select("doc_id", "th", "no", "h", F.when(F.col("many"), F.sha2("t", 256)).otherwise("").alias("g"))
+    first = keyed.groupBy("h", "g").agg(F.min("doc_id").alias("first"))
+    marked = keyed.join(first, ["h", "g"])
+    # of the first document's own places the least stays: a document's places are bounded by its lines
+    per = marked.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("no", "h", "g", (F.col("first") < F.col("doc_id")).alias("later")))).alias("m"))
+    gone = F.expr("transform(filter(m, (x, i) -> x.later or exists(slice(m, 1, i), y -> y.h = x.h and y.g = x.g)), x -> x.no)")
     return per.select("doc_id", "th", gone.alias("drop")).where("size(drop) > 0")
 
 
