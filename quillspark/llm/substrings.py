@@ -12,10 +12,10 @@ contexts repeat as a whole, and of several one stands for all.
 Where it does repeat. Contexts that share a gram with different ones go to one shard, by
 the gram. A shard's suffix array comes from Larsson-Sadakane refinement, common prefixes
 from Kasai's algorithm, and window starts repeat if their neighbours share LENGTH bytes. A
-gram with more than ``HOT`` contexts is split over shards of that size; these tell the
-digests of their distinct windows, and merging the sorted digests by binary search finds
-windows that are single in their shard but not in all. A shard's window is told once, so
-no key has more rows than there are shards.
+gram with more than ``HOT`` contexts is split over shards of that size; each tells the
+sorted digests of its distinct windows, packed by ranges of digests, and merging these
+arrays by binary search finds windows that are single in their shard but not in all. A
+shard's window is told once, so copies do not pile up in a range.
 
 Cases: null and empty texts, and those shorter than LENGTH, keep all; rows that repeat a
 doc_id with the same text are repeats of each other; an empty table gives no rows;
@@ -153,7 +153,12 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _SHARDED = pa.schema([("h", pa.int64()), ("salt", pa.int32()), ("parts", pa.int32()), ("doc_id", pa.int64()), ("th", pa.int64()), ("s", pa.int64()), ("n", pa.int32()), ("single", pa.bool_()), ("ctx", pa.binary())])
-_FOUND = "doc_id long, th long, a long, b long, told boolean, k long, lone boolean"
+_FOUND = "doc_id long, th long, a long, b long, bucket int, told binary"
+_FOUND_ARROW = pa.schema([*((n, pa.int64()) for n in ("doc_id", "th", "a", "b")), ("bucket", pa.int32()), ("told", pa.binary())])
+#: A window that a shard tells others: digest, where it is, and whether it is single there.
+_TOLD = np.dtype([("k", "<u8"), ("doc_id", "<i8"), ("th", "<i8"), ("s", "<i8"), ("lone", "?")])
+#: Contexts whose windows are merged in one place.
+TOGETHER = 4000
 
 
 def _spans(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,12 +167,13 @@ def _spans(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[np.r_[0, cutp + 1]], at[np.r_[cutp, len(at) - 1]]
 
 
-def repeated_windows(rows: list[tuple]) -> list[tuple]:
-    """Of a shard's contexts (h, salt, parts, doc_id, th, s, n, single, ctx): runs of window starts that repeat, and what to tell other shards."""
+def repeated_windows(rows: list[tuple]) -> tuple[list[tuple], np.ndarray]:
+    """Of a shard's contexts (h, salt, parts, doc_id, th, s, n, single, ctx): runs of window starts that repeat, and what to tell other shards, in order of digest."""
     size = np.array([len(r[8]) for r in rows], dtype=np.int64)
     ends = np.cumsum(size)
     starts = ends - size
-    text = np.frombuffer(b"".join(r[8] for r in rows), dtype=np.uint8).astype(np.int64) + 1
+    raw = b"".join(r[8] for r in rows)
+    text = np.frombuffer(raw, dtype=np.uint8).astype(np.int64) + 1
     sa = suffix_array(text, np.repeat(ends, size))
     lcp = common_prefixes(text, starts, ends, sa)
     windows = np.array([r[6] for r in rows], dtype=np.int64) + 1
@@ -175,72 +181,96 @@ def repeated_windows(rows: list[tuple]) -> list[tuple]:
     is_start = np.arange(len(text)) - starts[own] < windows[own]
     group = np.cumsum(lcp < LENGTH)[is_start[sa]]
     pos = sa[is_start[sa]]
-    # a context that stands for several is a repeat by itself
     first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     count = np.diff(np.r_[first, len(group)])
-    many = np.repeat(count > 1, count)
     flag = np.zeros(len(text), dtype=bool)
-    flag[pos[many]] = True
+    flag[pos[np.repeat(count > 1, count)]] = True
     out: list[tuple] = []
     for i, r in enumerate(rows):
-        if r[7]:
+        if r[7]:  # a context that stands for several is a repeat by itself
             hit = np.flatnonzero(flag[starts[i] : starts[i] + windows[i]])
             if len(hit):
-                out += [(r[3], r[4], r[5] + a, r[5] + b, False, None, None) for a, b in zip(*(x.tolist() for x in _spans(hit)), strict=True)]
-    raw = b"".join(r[8] for r in rows)
+                out += [(r[3], r[4], r[5] + a, r[5] + b) for a, b in zip(*(x.tolist() for x in _spans(hit)), strict=True)]
     split = np.array([r[2] > 1 for r in rows])
-    for p, c in zip(pos[first].tolist(), count.tolist(), strict=True):
-        i = int(own[p])
-        if split[i]:
-            r, s = rows[i], p - int(starts[i])
-            k = xxhash.xxh3_64_intdigest(raw[p : p + LENGTH])
-            out.append((r[3], r[4], r[5] + s, r[5] + s, True, k - (1 << 64) if k >> 63 else k, c == 1 and r[7]))
-    return out
-
-
-def _batch(out: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 4 + [pa.bool_(), pa.int64(), pa.bool_()]
-    cols = zip(*out, strict=True) if out else [[]] * 7
-    return pa.record_batch([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "th", "a", "b", "told", "k", "lone"])
-
-
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tell = split[own[pos[first]]]
+    p, c = pos[first][tell], count[tell]
+    told = np.zeros(len(p), dtype=_TOLD)
+    told["k"] = [xxhash.xxh3_64_intdigest(raw[x : x + LENGTH]) for x in p.tolist()]
+    for name, k in (("doc_id", 3), ("th", 4), ("s", 5)):
+        told[name] = np.array([r[k] for r in rows], dtype=np.int64)[own[p]]
+    told["s"] += p - starts[own[p]]
+    told["lone"] = (c == 1) & np.array([r[7] for r in rows])[own[p]]
+    return out, told[np.argsort(told["k"], kind="stable")]
+
+
+def _found(runs: list[tuple], told: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """A row for each run, and one for each range of digests with all that is told of it."""
+    edges = np.searchsorted(told["k"], np.array([(i << 64) // buckets for i in range(1, buckets)], dtype=np.uint64))
+    packed = [(i, x.tobytes()) for i, x in enumerate(np.split(told, edges)) if len(x)]
+    none = [None] * len(packed)
+    cols = list(zip(*runs, strict=True)) if runs else [()] * 4
+    return pa.record_batch(
+        [*(pa.array([*c, *none], pa.int64()) for c in cols), pa.array([None] * len(runs) + [b for b, _ in packed], pa.int32()), pa.array([None] * len(runs) + [x for _, x in packed], pa.binary())],
+        schema=_FOUND_ARROW,
+    )
+
+
+def _shards(buckets: int):
     """Whole grams (or parts of hot ones) are gathered until they fill a shard."""
-    rows: list[tuple] = []
-    group: list[tuple] = []
-    size = 0
-    for b in batches:
-        for r in zip(*(b.column(x).to_pylist() for x in _SHARDED.names), strict=True):
-            if group and r[:2] != group[0][:2]:
-                rows += group
-                group = []
-                if size >= SHARD:
-                    yield _batch(repeated_windows(rows))
-                    rows, size = [], 0
-            group.append(r)
-            size += len(r[8])
-    rows += group
-    if rows:
-        yield _batch(repeated_windows(rows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        group: list[tuple] = []
+        size = 0
+        for b in batches:
+            for r in zip(*(b.column(x).to_pylist() for x in _SHARDED.names), strict=True):
+                if group and r[:2] != group[0][:2]:
+                    rows += group
+                    group = []
+                    if size >= SHARD:
+                        yield _found(*repeated_windows(rows), buckets)
+                        rows, size = [], 0
+                group.append(r)
+                size += len(r[8])
+        rows += group
+        if rows:
+            yield _found(*repeated_windows(rows), buckets)
+
+    return run
+
+
+def merged(arrays: list[np.ndarray]) -> list[tuple]:
+    """Runs of windows that are single in their shard but told by another too: binary searches in the merged digests."""
+    every = np.sort(np.concatenate([a["k"] for a in arrays]))
+    out: list[tuple] = []
+    for a in arrays:
+        a = a[in_others(every, a["k"]) & a["lone"]]
+        a = a[np.lexsort((a["s"], a["th"], a["doc_id"]))]
+        new = np.r_[True, (a["doc_id"][1:] != a["doc_id"][:-1]) | (a["th"][1:] != a["th"][:-1]) | (np.diff(a["s"]) != 1)] if len(a) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        last = np.r_[first[1:], len(a)] - 1 if len(a) else first
+        out += zip(a["doc_id"][first].tolist(), a["th"][first].tolist(), a["s"][first].tolist(), a["s"][last].tolist(), strict=True)
+    return out
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lone windows that another shard has too; rows come in order of k."""
-    rest: pa.RecordBatch | None = None
+    """Rows come in order of bucket; a bucket's arrays are merged together."""
+    held: list[np.ndarray] = []
+    at = None
 
-    def found(t: pa.Table) -> pa.RecordBatch:
-        keep = in_others(t.column("k").to_numpy()) & t.column("lone").to_numpy(zero_copy_only=False)
-        t = t.filter(pa.array(keep)).select(["doc_id", "th", "a", "b"]).combine_chunks()
-        return t.to_batches()[0] if t.num_rows else pa.record_batch([pa.array([], pa.int64())] * 4, names=["doc_id", "th", "a", "b"])
+    def batch() -> pa.RecordBatch:
+        runs = merged(held)
+        return pa.record_batch([pa.array(list(c), pa.int64()) for c in (zip(*runs, strict=True) if runs else [()] * 4)], names=["doc_id", "th", "a", "b"])
 
     for b in batches:
-        t = pa.Table.from_batches([b] if rest is None else [*rest.to_batches(), b])
-        k = t.column("k").to_numpy()
-        at = int(np.searchsorted(k, k[-1], "left")) if len(k) else 0  # the last key may go on in the next batch
-        yield found(t.slice(0, at))
-        rest = t.slice(at)
-    if rest is not None:
-        yield found(rest)
+        for k, x in zip(b.column("bucket").to_pylist(), b.column("told").to_pylist(), strict=True):
+            if k != at and held:
+                yield batch()
+                held = []
+            at = k
+            held.append(np.frombuffer(x, dtype=_TOLD))
+    if held:
+        yield batch()
 
 
 def repeats(documents: DataFrame) -> DataFrame:
@@ -261,9 +291,10 @@ def repeats(documents: DataFrame) -> DataFrame:
     asked = asked.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "salt", "parts", "s", "n", "single")).alias("asked"))
     # rows that are alike in doc_id and text ask alike, so one of them serves
     bytes_ = docs.join(asked, ["doc_id", "th"]).mapInArrow(_texts, "h long, salt int, parts int, doc_id long, th long, s long, n int, single boolean, ctx binary")
-    found = cut(bytes_.repartition("h", "salt").sortWithinPartitions("h", "salt").mapInArrow(_shards, _FOUND))
-    across = found.where("told").repartition("k").sortWithinPartitions("k").select("doc_id", "th", "a", "b", "k", "lone").mapInArrow(_merge, "doc_id long, th long, a long, b long")
-    return whole.unionByName(found.where("not told").select("doc_id", "th", "a", "b")).unionByName(across)
+    hot = met.where((F.col("kinds") > HOT) & (F.col("copies") == 1)).count()
+    found = cut(bytes_.repartition("h", "salt").sortWithinPartitions("h", "salt").mapInArrow(_shards(1 + hot // TOGETHER), _FOUND))
+    across = found.where("told is not null").select("bucket", "told").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_merge, "doc_id long, th long, a long, b long")
+    return whole.unionByName(found.where("told is null").select("doc_id", "th", "a", "b")).unionByName(across)
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

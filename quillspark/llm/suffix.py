@@ -83,6 +83,6 @@ def common_prefixes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, sa:
     return plcp[sa]
 
 
-def in_others(keys: np.ndarray) -> np.ndarray:
-    """Whether each of the sorted keys of suffixes, merged from several arrays, is there more than once: by binary search."""
-    return np.searchsorted(keys, keys, "right") - np.searchsorted(keys, keys, "left") > 1
+def in_others(merged: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each key of one array is in the sorted keys of all arrays more than once: by binary search."""
+    return np.searchsorted(merged, keys, "right") - np.searchsorted(merged, keys, "left") > 1

@@ -128,6 +128,7 @@ def test_substrings(spark, small, odd, which, hot, monkeypatch):
         docs = spark.read.parquet(f"{small}/documents.parquet") if which == "table" else odd
     # a module constant does not reach the workers' shards, but the plan on the driver uses it
     monkeypatch.setattr(substrings, "HOT", hot)
+    monkeypatch.setattr(substrings, "TOGETHER", 5)
     src = rows(docs.select("doc_id", "text"))
     raw = [(t or "").encode() for t in src.text]
     want = []
