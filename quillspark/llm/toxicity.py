@@ -137,20 +137,19 @@ def fit(documents: DataFrame, labels: DataFrame) -> Chain:
 
 
 def score(documents: DataFrame, chain: Chain) -> DataFrame:
-    """The documents' columns, then p_worded, p_repeated and p_toxic."""
-    held = {"chain": chain}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = held["chain"]
-        auto = _automaton(c.marks)
-        for b in batches:
-            p = c.scores(features(b.column("text").to_pylist(), c.marks, auto)) if c.weights else np.zeros((b.num_rows, len(CATEGORIES)))
-            yield pa.record_batch([*b.columns, *(pa.array(p[:, i], pa.float64()) for i in range(len(CATEGORIES)))], names=[*b.schema.names, *(f"p_{k}" for k in CATEGORIES)])
-
-    schema = documents.schema
-    for k in CATEGORIES:
-        schema = type(schema)(list(schema.fields)).add(f"p_{k}", "double")
-    return documents.mapInArrow(run, schema)
+    """The documents' columns, then p_worded, p_repeated and p_toxic; only texts go to Python, and only scores come back."""
+    held: dict = {}
+
+    def run(texts: pa.Array) -> pa.Array:
+        if "auto" not in held:
+            held["auto"] = _automaton(chain.marks)
+        found = texts.to_pylist()
+        p = chain.scores(features(found, chain.marks, held["auto"])) if chain.weights else np.zeros((len(found), len(CATEGORIES)))
+        return pa.StructArray.from_arrays([pa.array(p[:, i], pa.float64()) for i in range(len(CATEGORIES))], names=list(CATEGORIES))
+
+    call = F.arrow_udf(run, "struct<" + ", ".join(f"{k}: double" for k in CATEGORIES) + ">")
+    out = documents.withColumn("_p", call(F.col("text")))
+    return out.select(*(F.col(f"`{c}`") for c in documents.columns), *(F.col(f"_p.{k}").alias(f"p_{k}") for k in CATEGORIES))
 
 
 def keep_clean(documents: DataFrame, labels: DataFrame) -> DataFrame:
