@@ -33,13 +33,18 @@ def nfc(col: Column | str) -> Column:
 NUKTA_LETTERS = {chr(c): unicodedata.normalize("NFD", chr(c)) for c in (*range(0x0958, 0x0960), 0x0929, 0x0931, 0x0934)}
 
 
-def normalise(col: Column | str) -> Column:
+def normalise(col: Column | str, converted: bool = False) -> Column:
     """NFC, decomposed nukta letters, no joiners, \\n line ends, single spaces, none around line ends.
 
     Texts of ASCII and Latin-1 letters alone are in NFC, so only others pay for the Arrow UDF.
+    Of ``converted`` text, which is Devanagari and ASCII, NFC would only order marks: the
+    nukta before the virama before accents, which two replacements do.
     """
     c = _c(col)
-    c = F.when(c.rlike(r"^[\x00-\x7f\u00a0-\u00ff]*$"), c).otherwise(nfc(c))
+    if converted:
+        c = F.regexp_replace(F.regexp_replace(c, "([\u0951-\u0954])([\u093c\u094d]+)", "$2$1"), "\u094d\u093c", "\u093c\u094d")
+    else:
+        c = F.when(c.rlike(r"^[\x00-\x7f\u00a0-\u00ff]*$"), c).otherwise(nfc(c))
     for one, two in NUKTA_LETTERS.items():
         c = F.replace(c, F.lit(one), F.lit(two))
     c = F.regexp_replace(c, "[\u200c\u200d]", "")
@@ -148,7 +153,9 @@ def query_terms(col: Column | str, most: int = 24) -> Column:
 def char_ngrams(col: Column | str, lo: int, hi: int) -> Column:
     """All n-grams of a text, shorter ones first; none where it is too short."""
     c = _c(col)
-    parts = [F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i, n=n: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in range(lo, hi + 1)]
+    at = lambda n: lambda i: F.substring(c, i, F.lit(n))
+    none = F.array().cast("array<string>")
+    parts = [F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), at(n))).otherwise(none) for n in range(lo, hi + 1)]
     return F.concat(*parts)
 
 

@@ -13,7 +13,7 @@ from ..functions import rules as R
 from ..functions import text as T
 
 CONTEXT, RESERVE, LEAST, FERTILITY, EXEMPLARS, EXEMPLAR_TOKENS, THIN = 4096, 900, 256, 1.97, 3, 260, 30
-_LINES = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+_LINES = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 def prompt_limit(context: int = CONTEXT, reserve: int = RESERVE) -> int:

@@ -11,7 +11,7 @@ from ..functions.text import let
 
 NAMES = ["letter_number", "branch", "date", "subject", "reference", "addressee", "signatory", "office", "copy_to"]
 _KIND = "struct<state:string,value:string,raw:string>"
-_LINES = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+_LINES = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 def _strip(c: Column, chars: str) -> Column:

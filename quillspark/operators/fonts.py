@@ -69,7 +69,7 @@ def convert(col: Column | str, table: FontTable, normalise: bool = True) -> Colu
         return F.struct(text.alias("text"), counts.alias("unmapped"), used.alias("used_keys"))
 
     out = T.let(_pieces(c, table), done)
-    return F.struct(T.normalise(out["text"]).alias("text"), out["unmapped"].alias("unmapped"), out["used_keys"].alias("used_keys")) if normalise else out
+    return F.struct(T.normalise(out["text"], True).alias("text"), out["unmapped"].alias("unmapped"), out["used_keys"].alias("used_keys")) if normalise else out
 
 
 #: Fonts by name, and by what their names contain.
@@ -111,22 +111,24 @@ def convert_document(docs: DataFrame, tables: dict[str, FontTable], runs: str =
 
     Runs without a table pass through, and so do misfonted Latin runs within a converted one.
     """
+    turn = lambda t: lambda p: F.when(F.size(misfonted_latin(p)) > 0, p).otherwise(convert(p, t, False)["text"])
+
     def one(r: Column) -> Column:
         out = r["text"]
         for name, t in tables.items():
             latin = "[A-Z0-9./\\-]{3,}"
             pieces = F.regexp_extract_all(r["text"], F.lit(f"(?s)({latin}|(?:(?!{latin}).)+)"), F.lit(1))
-            turned = F.array_join(F.transform(pieces, lambda p, t=t: F.when(F.size(misfonted_latin(p)) > 0, p).otherwise(convert(p, t, False)["text"])), "")
+            turned = F.array_join(F.transform(pieces, turn(t)), "")
             out = F.when(F.lit(force == name) if force else r["table"] == name, turned).otherwise(out)
         return out
 
     block = lambda b: F.array_join(F.transform(coalesce_runs(b, lambda f: font_table(f)["table"]), one), "")
-    return docs.withColumn("text", T.normalise(F.array_join(F.transform(runs, block), "\n")))
+    return docs.withColumn("text", T.normalise(F.array_join(F.transform(runs, block), "\n"), True))
 
 
 def accuracy(pairs: DataFrame, table: FontTable) -> DataFrame:
     """n, exact, char_accuracy over gold pairs (legacy, expected)."""
-    got = pairs.select(convert("legacy", table)["text"].alias("got"), T.normalise("expected").alias("want"))
+    got = pairs.select(convert("legacy", table)["text"].alias("got"), T.normalise("expected", True).alias("want"))
     got = got.select((F.col("got") == F.col("want")).cast("int").alias("exact"), F.levenshtein("got", "want").alias("d"), F.length("want").alias("len"))
     return got.agg(F.count("*").alias("n"), F.sum("exact").alias("exact"), F.round(F.greatest(F.lit(0.0), 1 - F.sum("d") / F.sum("len")), 6).alias("char_accuracy"))
 

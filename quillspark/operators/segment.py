@@ -82,6 +82,8 @@ def _join(a: tuple, b: tuple) -> tuple:
 def split_letters(lines: list[str], tags: list[set]) -> list[tuple[int, int, str, Counter, str]]:
     """(first line, end, text, anchor counts, reason) of each letter of a document."""
     opened = _openings(lines, tags)
+    if not opened:
+        return []
     parts = []
     for (lo, why), (hi, _) in zip(opened, [*opened[1:], (len(lines), "")], strict=True):
         kept = [i for i in range(lo, hi) if "noise" not in tags[i]]
@@ -128,7 +130,7 @@ def _has(name: str, anchors: Column | str = "anchors") -> Column:
 
 def form(text: Column, anchors: Column) -> Column:
     """letter, order, endorsement or fragment: the most specific evidence first."""
-    head = F.array_join(F.slice(F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), 1, HEAD_LINES), "\n")
+    head = F.array_join(F.slice(F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), 1, HEAD_LINES), "\n")
     n = F.length(text)
     endorse = (n <= R.MAX_ENDORSEMENT) & _has("distribution", anchors) & ~(_has("subject", anchors) | _has("salutation", anchors) | _has("addressee", anchors))
     return (

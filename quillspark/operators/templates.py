@@ -11,7 +11,7 @@ from ..functions import text as T
 MIN_LINE, SHARE, MIN_CELL, MAX_LINE = 4, 0.30, 8, 120
 SALUTATION, CLOSING = R.ROLE_ORDER["salutation"], R.ROLE_ORDER["closing"]
 #: What ends a line.
-LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 def line_role(col: Column) -> Column:

@@ -607,7 +607,7 @@ def _split(spark):
     return segment.segment(_rows(spark, X.DOCUMENTS, "doc_id int, text string"))
 
 
-@query(_values([(1, 0, 0, 11, "file-start"), (1, 1, 11, 22, "header-after-close"), (2, 0, 0, 6, "file-start"), (3, 0, 0, 1, "file-start"), (5, 0, 0, 8, "file-start"), (5, 1, 8, 17, "repeated-subject")], "doc_id, seq, start_line, end_line, opened_by"))
+@query(_values([(1, 0, 0, 11, "file-start"), (1, 1, 11, 22, "header-after-close"), (2, 0, 0, 6, "file-start"), (3, 0, 0, 1, "file-start"), (5, 0, 0, 7, "file-start"), (5, 1, 7, 17, "repeated-subject")], "doc_id, seq, start_line, end_line, opened_by"))
 def segment_boundaries(spark, d):
     return _split(spark).select("doc_id", "seq", "start_line", "end_line", "opened_by")
 
@@ -784,7 +784,7 @@ def draft_letters(spark, d):
     return out.select("id", (F.contains("letter", F.lit("निवेदन है")) & F.contains("letter", F.lit("दिनांक 01.01.2024")) & F.col("needs_review")).alias("has_letter"))
 
 
-@query("SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01')::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def event_windows(spark, d):
     """No counterpart among the reference's operators."""
     return ingest.event_windows(_t(spark, d, "events"))
