@@ -457,6 +457,33 @@ def eval_stderr(spark, d):
     return retrieve.standard_error(eval_known_item(spark, d), "recall5")
 
 
+@query("""WITH w AS (SELECT item_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') w FROM benchmark),
+k AS (SELECT item_id, w, list_sort(list_transform(list_sort(list_transform(range(len(w)), lambda i: {'h': md5(item_id || '-' || i), 'i': i}))[1:greatest(2, len(w) // 2)], lambda x: x.i)) p FROM w)
+SELECT item_id AS query, CASE WHEN len(w) < 4 THEN array_to_string(w, ' ') ELSE array_to_string(list_transform(p, lambda i: w[i + 1]), ' ') END AS text FROM k""")
+def degrade_queries(spark, d):
+    return retrieve.degrade(_requests(spark, d)).select("query", "text")
+
+
+@query(f"""SELECT query, doc, rank FROM (SELECT q.query, doc_id doc, CAST(row_number() OVER (PARTITION BY q.query ORDER BY md5(q.query || '-' || doc_id) DESC, doc_id) AS INTEGER) rank FROM ({_EVAL_SQL}) q JOIN documents ON doc_id <> q.query) WHERE rank <= 5""")
+def random_baseline(spark, d):
+    return retrieve.random_baseline(_letters(spark, d), _eval_queries(spark, d))
+
+
+@query()
+def eval_sweep(spark, d):
+    """BM25, TF-IDF and their fusion on the same queries; each figure has SQL of its own above."""
+    docs, q = _letters(spark, d), _eval_queries(spark, d)
+    a, b = retrieve.bm25(docs, q), retrieve.tfidf(_with_subject(docs), q)
+    fused = retrieve.rrf({"bm25": retrieve.top(a, 30), "tfidf": retrieve.top(b, 30)}).drop("ranks")
+    return retrieve.sweep({"bm25": a, "tfidf": b, "rrf": fused}, q, docs.select("doc", F.concat_ws("/", "lang", "source").alias("cell")))
+
+
+@query(f"""WITH {_BM25_WITH}, {_bm25_sql("SELECT 0 query, 'apache license version the thing' AS text")}, hit AS (SELECT doc FROM tok WHERE contains(' ' || array_to_string(t, ' ') || ' ', ' apache license version ') OR (list_contains(t, 'the') AND list_contains(t, 'thing')))
+SELECT doc, score, rank FROM (SELECT doc, score, CAST(row_number() OVER (ORDER BY score DESC, doc) AS INTEGER) rank FROM bm JOIN hit USING (doc)) WHERE rank <= 10""")
+def fts_search(spark, d):
+    return retrieve.search(_letters(spark, d), '"Apache License, Version" OR the thing', 10)
+
+
 # --- classification ----------------------------------------------------------
 def _labelled(spark, d):
     return _letters(spark, d).select("doc", "text", F.col("lang").alias("label"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import rules
 from quillspark.functions import text as T
-from quillspark.operators import classify, draft, fonts, gold, retrieve, segment, store, templates
+from quillspark.operators import classify, draft, encode, fonts, gold, retrieve, segment, store, templates
 from quillspark.plans import fixtures as X
 from quillspark.sources import archive, sinks
 from quillspark.streaming import ingest
@@ -180,3 +180,23 @@ def test_cards(spark):
     assert not gold.conversion_card(df).first().usable and not gold.conversion_card(df.where("seed")).first().usable
     one = spark.range(1).select(gold.retrieval_card(F.lit(100), F.lit(0.5), F.lit(0.06), F.lit(0.03)).alias("r"), gold.drafting_card(F.lit(5), F.lit(0.1)).alias("d")).first()
     assert (one.r, one.d) == ("beats random", "too few dispatches")
+
+
+def test_docx_writer_reads_back(spark):
+    df = spark.createDataFrame([("one & <two>\n\nthree",)], "t string").select(sinks.docx_bytes("t", "Mangal").alias("b"))
+    blocks, warnings = archive.docx_blocks(bytes(df.first().b))
+    assert [[(r["text"], r["font"]) for r in b] for b in blocks] == [[("one & <two>", "Mangal")], [("three", "Mangal")]] and not warnings
+
+
+def test_random_projection(spark):
+    df = spark.createDataFrame([(1, "the quick brown fox"), (2, "the quick brown fix"), (3, "zzz unrelated text"), (4, "")], "id int, t string")
+    v = {r.id: r.v for r in df.select("id", encode.encode("t", encode.RandomProjection(64)).alias("v")).collect()}
+    dot = lambda a, b: sum(x * y for x, y in zip(v[a], v[b], strict=True))
+    assert abs(dot(1, 1) - 1) < 1e-5 and dot(1, 2) > dot(1, 3) + 0.2 and not any(v[4])
+    got = spark.createDataFrame([("क",), ("abc",)], "w string").select("w", T.fnv1a("w", encode.BUCKETS).alias("b")).collect()
+    assert all(r.b == encode.bucket(r.w) for r in got)
+
+
+def test_search_expressions():
+    assert retrieve.parse_search('"a b" c OR d AND e OR') == [[["a", "b"], ["c"]], [["d"], ["e"]]]
+    assert retrieve.parse_search(' "" ') == []
