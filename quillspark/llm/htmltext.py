@@ -315,7 +315,9 @@ def made_up_page(r: random.Random) -> str:
 def fit(pages: DataFrame) -> BiLstm:
     """A network trained on made-up pages and a bounded sample of the table's."""
     r = random.Random(SEED)
-    some = pages.where("html is not null").orderBy(F.xxhash64("page_id"), "page_id", "html").select("html").limit(SAMPLE).collect()
+    ids = pages.where("html is not null").select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE)
+    # SAMPLE numbers are broadcast, and SAMPLE pages come back, however many rows repeat a page_id
+    some = pages.select("page_id", "html").join(F.broadcast(ids), "page_id").groupBy("page_id").agg(F.min("html").alias("html")).orderBy("page_id").collect()
     found = [blocks(made_up_page(r)) for _ in range(PAGES)] + [blocks(x.html) for x in some]
     return BiLstm().train([(vectors(f), teach(f)) for f in found])
 
