@@ -1,7 +1,8 @@
 """Toxicity by a classifier chain over linear models.
 
 Features: how often a text has each of ``GRAMS`` character n-grams (within words,
-lower-case) that mark toxic rows best in a sample of labelled rows. Categories, each a yes
+lower-case, in MIN_SHARE of the toxic rows) that
+mark toxic rows best in a sample of labelled rows. Categories, each a yes
 or no for a row, form a chain: ``worded`` (toxic, with one of the marks at least),
 ``repeated`` (toxic, with three or more) and ``toxic`` (the label). A model sees the
 features and the probabilities of the categories before it; for training those are out of
@@ -31,10 +32,13 @@ from pyspark.sql import functions as F
 from .common import table
 from .linear import apply_logistic, fit_logistic
 
-SAMPLE, GRAMS, FOLDS, MIN_ROWS = 8000, 256, 3, 3
+SAMPLE, GRAMS, FOLDS, MIN_ROWS, MIN_SHARE, RIDGE = 8000, 256, 3, 3, 0.02, 1.0
 SIZES = (4, 5, 6)
 CATEGORIES = ("worded", "repeated", "toxic")
-THRESHOLD = 0.5
+#: Toxic rows that it takes to choose a cut.
+ENOUGH = 100
+#: Occurrences of a mark that tell: one is as sure a sign in a long text as many are.
+SEEN = 3
 _WORD = regex.compile(r"\p{L}{4,}")
 
 
@@ -71,20 +75,20 @@ def _automaton(marks: list[str]) -> ahocorasick.Automaton:
 
 
 def features(texts: list[str | None], marks: list[str], automaton: ahocorasick.Automaton) -> np.ndarray:
-    """log(1 + occurrences) of each mark in each text."""
+    """log(1 + occurrences), which count up to SEEN, of each mark in each text."""
     x = np.zeros((len(texts), len(marks)), dtype=np.float32)
     if marks:
         for row, t in enumerate(texts):
             for _, k in automaton.iter((t or "").lower()):
                 x[row, k] += 1
-    return np.log1p(x)
+    return np.log1p(np.minimum(x, SEEN))
 
 
 class Chain:
-    """The models, in order; weights[i] is for the features, i earlier probabilities, and 1."""
+    """The models, in order; weights[i] is for the features, i earlier probabilities, and 1. A text is toxic from the threshold on."""
 
-    def __init__(self, marks: list[str], weights: list[np.ndarray]):
-        self.marks, self.weights = marks, weights
+    def __init__(self, marks: list[str], weights: list[np.ndarray], threshold: float = 0.5):
+        self.marks, self.weights, self.threshold = marks, weights, threshold
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         p = np.zeros((len(x), 0))
@@ -99,13 +103,26 @@ def fit_chain(x: np.ndarray, labels: np.ndarray, marks: list[str]) -> Chain:
     oof, weights = np.zeros((len(x), 0)), []
     for c in range(labels.shape[1]):
         inputs, y = np.hstack([x, oof]), labels[:, c]
-        weights.append(fit_logistic(inputs, y))
+        weights.append(fit_logistic(inputs, y, RIDGE))
         p = np.zeros(len(x))
         for f in range(FOLDS):
             if (fold == f).any():
-                p[fold == f] = apply_logistic(inputs[fold == f], fit_logistic(inputs[fold != f], y[fold != f]))
+                p[fold == f] = apply_logistic(inputs[fold == f], fit_logistic(inputs[fold != f], y[fold != f], RIDGE))
         oof = np.hstack([oof, p[:, None]])
-    return Chain(marks, weights)
+    return Chain(marks, weights, best_threshold(oof[:, -1], labels[:, -1]))
+
+
+def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """Of the cuts between out-of-fold probabilities the one of the greatest F1, midway, within a quarter and a half; a half where fewer than ENOUGH rows are toxic."""
+    if y.sum() < ENOUGH:
+        return 0.5
+    o = np.argsort(-p, kind="stable")
+    p, y = p[o], y[o]
+    f1 = 2 * np.cumsum(y) / (np.arange(1, len(y) + 1) + y.sum())
+    f1[np.r_[p[1:] == p[:-1], False]] = -1  # equal probabilities fall on one side
+    k = int(f1.argmax())
+    below = p[k + 1] if k + 1 < len(p) else 0.0
+    return float(np.clip((p[k] + below) / 2, 0.25, 0.5))
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> Chain:
@@ -118,7 +135,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> Chain:
     counted = rows.select("text", "toxic").mapInArrow(_count, "g string, n long, t long").groupBy("g").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
     share = total.t / total.n
     score = (F.col("t") - F.col("n") * share) / F.sqrt(F.col("n") * share + 1)
-    best = counted.where(F.col("t") >= MIN_ROWS).where(F.col("t") > 0.6 * F.col("n")).orderBy(score.desc(), "g").limit(GRAMS)
+    best = counted.where(F.col("t") >= max(MIN_ROWS, MIN_SHARE * total.t)).where(F.col("t") > 0.6 * F.col("n")).orderBy(score.desc(), "g").limit(GRAMS)
     marks = sorted(r.g for r in best.select("g").collect())
     auto = _automaton(marks)
 
@@ -154,10 +171,11 @@ def score(documents: DataFrame, chain: Chain) -> DataFrame:
 
 def keep_clean(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not toxic, with the columns they had."""
-    return score(documents, fit(documents, labels)).where(F.col("p_toxic") < THRESHOLD).drop(*(f"p_{k}" for k in CATEGORIES))
+    chain = fit(documents, labels)
+    return score(documents, chain).where(F.col("p_toxic") < chain.threshold).drop(*(f"p_{k}" for k in CATEGORIES))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = score(docs, fit(docs, table(spark, sf_dir, "labels"))).drop("text")
-    return out.withColumn("toxic", F.col("p_toxic") >= THRESHOLD)
+    chain = fit(docs, table(spark, sf_dir, "labels"))
+    return score(docs, chain).drop("text").withColumn("toxic", F.col("p_toxic") >= chain.threshold)

@@ -270,7 +270,7 @@ def test_toxicity(spark, medium, odd):
     chain = toxicity.fit(docs, train)
     assert [len(w) for w in chain.weights] == [len(chain.marks) + 1, len(chain.marks) + 2, len(chain.marks) + 3]
     got = rows(toxicity.score(docs.join(test, "doc_id"), chain))
-    hit = got.p_toxic >= toxicity.THRESHOLD
+    hit = got.p_toxic >= chain.threshold
     en = got.lang == "en"
     assert (hit & (got.toxic == 1) & en).sum() >= 0.9 * ((got.toxic == 1) & en).sum() and (hit & (got.toxic == 0)).sum() <= 0.01 * len(got)
     assert toxicity.score(odd, chain).count() == odd.count() and toxicity.keep_clean(odd, labels).columns == odd.columns
