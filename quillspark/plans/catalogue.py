@@ -572,7 +572,11 @@ def boilerplate_lines(spark, d):
     return _mined(spark, d)[3].select("lang", "source", "canon", "letters", "n")
 
 
-@query(f"WITH {_LINES_WITH}, k AS (SELECT lang, source, canon, line, count(*) times, min((doc_id, idx)) seen FROM rows_ JOIN found USING (lang, source, canon) GROUP BY ALL) SELECT lang, source, canon, line AS literal, times FROM k QUALIFY row_number() OVER (PARTITION BY lang, source, canon ORDER BY times DESC, seen, line) = 1")
+_MODAL = """modal AS (SELECT lang, source, canon, line AS literal, times FROM (SELECT lang, source, canon, line, count(*) times, min((doc_id, idx)) seen FROM rows_ JOIN found USING (lang, source, canon) GROUP BY ALL)
+QUALIFY row_number() OVER (PARTITION BY lang, source, canon ORDER BY times DESC, seen, line) = 1)"""
+
+
+@query(f"WITH {_LINES_WITH}, {_MODAL} SELECT * FROM modal")
 def modal_literal(spark, d):
     _, _, rows, found = _mined(spark, d)
     return templates.modal_literal(rows, found, _CELLS)
@@ -592,13 +596,13 @@ def _roles(spark, d):
     return rows, templates.roles(found, templates.modal_literal(rows, found, _CELLS), templates.positions(rows, found, _CELLS), _CELLS)
 
 
-@query(f"WITH {_POS_WITH} SELECT lang, source, canon, pos, CAST(4 AS INTEGER) AS rank, length(canon) > 1000 AS is_body FROM pos")
+@query(f"WITH {_POS_WITH}, {_MODAL} SELECT lang, source, canon, pos, CAST(4 AS INTEGER) AS rank, length(literal) > 120 AS is_body FROM pos JOIN modal USING (lang, source, canon)")
 def skeleton_roles(spark, d):
     """No line of the Latin-script tables is a landmark, so all are unanchored; landmarks are in the fixtures' query."""
     return _roles(spark, d)[1].select("lang", "source", "canon", "pos", "rank", "is_body")
 
 
-@query(f"WITH {_LINES_WITH}, hit AS (SELECT lang, source, doc_id, avg(CASE WHEN f.canon IS NULL THEN 0 ELSE 1 END) s FROM rows_ r LEFT JOIN found f USING (lang, source, canon) GROUP BY ALL) SELECT lang, source, count(*) AS letters, round(avg(s), 6) AS coverage FROM hit GROUP BY ALL")
+@query(f"WITH {_LINES_WITH}, {_MODAL}, hit AS (SELECT lang, source, doc_id, avg(CASE WHEN f.literal IS NULL OR length(f.literal) > 120 THEN 0 ELSE 1 END) s FROM rows_ r LEFT JOIN modal f USING (lang, source, canon) GROUP BY ALL) SELECT lang, source, count(*) AS letters, round(avg(s), 6) AS coverage FROM hit GROUP BY ALL")
 def skeleton_coverage(spark, d):
     rows, kept = _roles(spark, d)
     return templates.coverage(rows, kept, _CELLS)
