@@ -6,11 +6,19 @@ pairs on either side: it depends on four lines only, so the cuts inside a shared
 are the same wherever it stands, and no chunk between two cuts has fewer than two lines.
 A chunk of two or more non-blank lines that occurs elsewhere too, in the same text or in
 another, is removed everywhere but at its first place (least doc_id, then position).
-Chunks meet by hash; the bytes of those that share one are compared, and where they differ
-a digest takes part in the key.
+
+Chunks alone miss short passages: a cut takes four lines, so what two texts share must hold
+two cuts. With ``passages`` (op8 and the pipeline) every run of whole lines of over
+``PASSAGE`` words that stands elsewhere too goes as well, down to a single line, and so does
+a whole text of two or more non-blank lines. A shared run is the union of the shortest runs
+of over PASSAGE words that begin or end at its lines, so these are what is looked up. A line
+that goes has an equal one in an earlier place, hence one that stays.
+
+Chunks and runs meet by hash; the bytes of those that share one are compared, and where they
+differ a digest takes part in the key.
 
 Cases: a null text stays null and has no lines; an empty text has one empty line; a text
-of one line is a chunk of one line and stays; rows that repeat a doc_id are each judged by
+of one line is a chunk of one line and stays (unless over PASSAGE words, with ``passages``); rows that repeat a doc_id are each judged by
 (doc_id, text), so an identical row is a repeat only of smaller doc_ids; an empty table
 gives no rows; all further columns are kept as they are.
 """
@@ -24,8 +32,12 @@ from .common import cut, table
 
 #: Non-blank lines that a chunk needs to be removable.
 MIN_LINES = 2
-#: What chunks meet by.
+#: Words that a passage has more of.
+PASSAGE = 50
+#: What chunks and passages meet by.
 HASH = "xxhash64(c.t)"
+#: A range of lines is one number, first * RANGE + last.
+RANGE = 1 << 31
 
 
 def _let(name: str, value: str, then: str) -> str:
@@ -33,58 +45,82 @@ def _let(name: str, value: str, then: str) -> str:
     return f"transform(array({value}), {name} -> {then})[0]"
 
 
-def chunks_sql(text: str = "text") -> str:
-    """The text's chunks in order: t (lines joined by \\n), k (how many lines), multi (whether it can be removed)."""
-    piece = f"struct(array_join(p, '\\n') as t, size(p) as k, size(filter(p, x -> trim(x) <> '')) >= {MIN_LINES} as multi)"
-    chunk = _let("p", "slice(l, b, coalesce(try_element_at(s, k + 2), size(l) + 1) - b)", piece)
+def _numbers(n: str) -> str:
+    """1 to n, or none."""
+    return f"if({n} < 1, cast(array() as array<int>), sequence(1, {n}))"
+
+
+def units_sql(text: str = "text", passages: bool = False) -> str:
+    """What the text can lose: t (lines joined by \\n), a and b (first and last line, from 1), chunk (whether it is a chunk).
+
+    With ``passages`` there are, besides chunks, the shortest run of over PASSAGE words that
+    begins at each line with words and the shortest that ends there, and the whole text.
+    """
     # r[i] is the rolling hash of lines i and i + 1; s holds the 1-based numbers of the lines that begin a chunk
     least = "(i = 0 or r[i] < r[i - 1]) and (i = size(r) - 1 or r[i] < r[i + 1])"
     begin = f"concat(array(1), if(size(r) = 0, cast(array() as array<int>), transform(filter(sequence(0, size(r) - 1), i -> {least}), i -> i + 2)))"
     roll = "if(size(h) < 2, cast(array() as array<bigint>), transform(sequence(0, size(h) - 2), i -> xxhash64(h[i], h[i + 1])))"
-    body = _let("s", begin, f"transform(s, (b, k) -> {chunk})")
-    return _let("l", f"split({text}, '\\n', -1)", _let("h", "transform(l, x -> xxhash64(x))", _let("r", roll, body)))
-
-
-def repeats(documents: DataFrame) -> DataFrame:
-    """(doc_id, th, drop): for each text that loses chunks, their numbers."""
+    several = f"size(filter(slice(l, int(x div {RANGE}L), int(x % {RANGE}L - x div {RANGE}L) + 1), y -> trim(y) <> '')) >= {MIN_LINES}"
+    ends = f"transform(s, (b, k) -> b * {RANGE}L + coalesce(try_element_at(s, k + 2), size(l) + 1) - 1)"
+    chunks = _let("h", "transform(l, x -> xxhash64(x))", _let("r", roll, _let("s", begin, f"filter({ends}, x -> {several})")))
+    every = "d"
+    if passages:
+        # v holds the lines with words and how many; of such lines PASSAGE + 1 are over PASSAGE words
+        words = "filter(transform(l, (x, i) -> struct(i + 1 as i, size(array_remove(split(x, '[\\\\x09-\\\\x0D\\\\x20]+'), '')) as w)), x -> x.w > 0)"
+        step = f"(z, x) -> if(z.w > {PASSAGE}, z, struct(z.w + x.w as w, x.i as i))"
+        ahead = f"transform(v, (x, k) -> struct(x.i as a, aggregate(slice(v, k + 1, {PASSAGE + 1}), struct(0 as w, 0 as i), {step}) as z))"
+        back = f"transform(v, (x, k) -> struct(x.i as b, aggregate(reverse(slice(v, greatest(k + 1 - {PASSAGE}, 1), least(k + 1, {PASSAGE + 1}))), struct(0 as w, 0 as i), {step}) as z))"
+        whole = f"filter(array({RANGE}L + size(l)), x -> {several})"
+        runs = f"concat(transform(filter({ahead}, x -> x.z.w > {PASSAGE}), x -> x.a * {RANGE}L + x.z.i), transform(filter({back}, x -> x.z.w > {PASSAGE}), x -> x.z.i * {RANGE}L + x.b), {whole})"
+        every = f"array_union(d, {_let('v', words, runs)})"
+    piece = _let("a", f"int(x div {RANGE}L)", _let("b", f"int(x % {RANGE}L)", "struct(array_join(slice(l, a, b - a + 1), '\\n') as t, a, b, k < size(d) as chunk)"))
+    return _let("l", f"split({text}, '\\n', -1)", _let("d", chunks, f"transform({every}, (x, k) -> {piece})"))
+
+
+def repeats(documents: DataFrame, passages: bool = False) -> DataFrame:
+    """(doc_id, th, drop, chunks): for each text that loses lines, the ranges (a, b) lost, in order and apart, and how many chunks."""
     docs = documents.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), "text")
-    chunk = docs.select("doc_id", "th", F.posexplode(F.expr(chunks_sql())).alias("no", "c")).where("c.multi")
-    narrow = chunk.select("doc_id", "th", "no", F.expr(HASH).alias("h"))
-    # counts by hash are summed before they are shuffled; a join that AQE can split then finds the chunks with a partner
-    often = narrow.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    met = cut(narrow.join(often, "h", "left_semi").select("doc_id", "th", "no", "h"))
-    # only texts that hold such chunks are read again, for their bytes
+    units = F.expr(units_sql(passages=passages))
+    unit = docs.select("doc_id", "th", F.posexplode(units).alias("no", "c"))
+    narrow = unit.select("doc_id", "th", "no", "c.a", "c.b", "c.chunk", F.expr(HASH).alias("h"))
+    # counts by hash are summed before they are shuffled; a join that AQE can split then finds the units with a partner
+    often = unit.select(F.expr(HASH).alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    met = cut(narrow.join(often, "h", "left_semi").select("doc_id", "th", "no", "a", "b", "chunk", "h"))
+    # only texts that hold such units are read again, for their bytes
     some = docs.join(met.groupBy("doc_id", "th").agg(F.collect_set("no").alias("nos")), ["doc_id", "th"])
-    same = some.select("doc_id", "th", "nos", F.posexplode(F.expr(chunks_sql())).alias("no", "c")).where("array_contains(nos, no)")
-    same = same.select("doc_id", "th", "no", F.expr(HASH).alias("h"), F.col("c.t").alias("t"))
-    unlike = cut(same.groupBy("h").agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a <> b").select("h"))
+    same = some.select("doc_id", "th", "nos", F.posexplode(units).alias("no", "c")).where("array_contains(nos, no)")
+    same = same.select("doc_id", "th", "no", "c.a", "c.b", "c.chunk", F.expr(HASH).alias("h"), F.col("c.t").alias("t"))
+    unlike = cut(same.groupBy("h").agg(F.min("t").alias("x"), F.max("t").alias("y")).where("x <> y").select("h"))
     keyed = met.withColumn("g", F.lit(""))
     if not unlike.isEmpty():  # a hash of several texts: there a digest tells them apart
-        keyed = same.join(unlike.withColumn("many", F.lit(True)), "h", "left").select("doc_id", "th", "no", "h", F.when(F.col("many"), F.sha2("t", 256)).otherwise("").alias("g"))
+        keyed = same.join(unlike.withColumn("many", F.lit(True)), "h", "left").select("doc_id", "th", "a", "b", "chunk", "h", F.when(F.col("many"), F.sha2("t", 256)).otherwise("").alias("g"))
     first = keyed.groupBy("h", "g").agg(F.min("doc_id").alias("first"))
     marked = keyed.join(first, ["h", "g"])
     # of the first document's own places the least stays: a document's places are bounded by its lines
-    per = marked.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("no", "h", "g", (F.col("first") < F.col("doc_id")).alias("later")))).alias("m"))
-    gone = F.expr("transform(filter(m, (x, i) -> x.later or exists(slice(m, 1, i), y -> y.h = x.h and y.g = x.g)), x -> x.no)")
-    return per.select("doc_id", "th", gone.alias("drop")).where("size(drop) > 0")
+    per = marked.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("h", "g", "a", "b", "chunk", (F.col("first") < F.col("doc_id")).alias("later")))).alias("m"))
+    gone = F.expr("filter(m, (x, i) -> x.later or (i > 0 and m[i - 1].h = x.h and m[i - 1].g = x.g))")
+    lost = per.select("doc_id", "th", gone.alias("gone")).where("size(gone) > 0")
+    join = "if(size(z) > 0 and x.a <= element_at(z, -1).b + 1, concat(slice(z, 1, size(z) - 1), array(struct(element_at(z, -1).a as a, greatest(element_at(z, -1).b, x.b) as b))), concat(z, array(x)))"
+    ranges = f"aggregate(array_sort(transform(gone, x -> struct(x.a as a, x.b as b))), cast(array() as array<struct<a: int, b: int>>), (z, x) -> {join})"
+    return lost.select("doc_id", "th", F.expr(ranges).alias("drop"), F.expr("size(filter(gone, x -> x.chunk))").alias("chunks"))
 
 
-def line_dedup(documents: DataFrame) -> DataFrame:
-    """The documents with repeated chunks removed, plus n_lines, n_removed (lines) and n_chunks_removed.
+def line_dedup(documents: DataFrame, passages: bool = False) -> DataFrame:
+    """The documents with repeated chunks (and passages) removed, plus n_lines, n_removed (lines) and n_chunks_removed.
 
     All columns are kept; n_chars, if there is one, becomes the length of what is left.
     """
-    gone = repeats(documents).withColumnsRenamed({"doc_id": "_id", "th": "_th"})
+    gone = repeats(documents, passages).withColumnsRenamed({"doc_id": "_id", "th": "_th"})
     keyed = documents.withColumn("_t", F.xxhash64("text"))
     both = keyed.join(gone, (F.col("doc_id") == F.col("_id")) & (F.col("_t") == F.col("_th")), "left")
-    left = _let("q", "filter(c, (x, i) -> drop is null or not array_contains(drop, i))", "struct(array_join(transform(q, x -> x.t), '\\n') as t, aggregate(c, 0L, (a, x) -> a + x.k) as n, aggregate(q, 0L, (a, x) -> a + x.k) as kept)")
-    out = both.withColumn("_x", F.expr(f"if(text is null, null, {_let('c', chunks_sql(), left)})"))
+    left = _let("q", "filter(l, (x, i) -> not exists(drop, y -> i + 1 between y.a and y.b))", "struct(array_join(q, '\\n') as t, size(q) as kept)")
+    out = both.withColumn("_n", F.expr("if(text is null, 0, size(split(text, '\\n', -1)))")).withColumn("_x", F.expr(f"if(text is null or drop is null, null, {_let('l', "split(text, '\\n', -1)", left)})"))
     new = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.col("_x.t"))
     cols = [new.alias("text") if c == "text" else F.length(new).cast(documents.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in documents.columns]
-    n = F.coalesce("_x.n", F.lit(0).cast("long"))
-    return out.select(*cols, n.alias("n_lines"), (n - F.coalesce("_x.kept", F.lit(0).cast("long"))).alias("n_removed"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_chunks_removed"))
+    n = F.col("_n").cast("long")
+    return out.select(*cols, n.alias("n_lines"), (n - F.coalesce(F.col("_x.kept").cast("long"), n)).alias("n_removed"), F.coalesce("chunks", F.lit(0)).cast("long").alias("n_chunks_removed"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup(docs).select("doc_id", "text", "n_lines", "n_removed", "n_chunks_removed")
+    return line_dedup(docs, passages=True).select("doc_id", "text", "n_lines", "n_removed", "n_chunks_removed")

@@ -337,3 +337,42 @@ def test_empty_tables(spark):
         linededup.line_dedup(docs), toxicity.keep_clean(docs, labels), sharding.shard(docs), htmltext.extract(pages, htmltext.fit(pages)),
     ):
         assert out.count() == 0
+
+
+def brute_runs(lines):
+    """Every run of whole lines of over 50 words, by its first line."""
+    return [("\n".join(lines[a:b]), a, b) for a in range(len(lines)) for b in range(a + 1, len(lines) + 1) if sum(len(words(x)) for x in lines[a:b]) > 50]
+
+
+def test_line_dedup_passages(spark, small):
+    """Planted passages of 1 to 6 lines, and every repeated run of over 50 words on the small table."""
+    r = random.Random(8)
+    made = lambda n: " ".join(f"{r.choice('abcdefgh')}{r.randrange(10**6)}" for _ in range(n))
+    texts = []
+    for k in range(1, 7):
+        shared = [made(60 // k + 1) for _ in range(k)]
+        texts += ["\n".join([*(made(9) for _ in range(i % 3)), *shared, *(made(9) for _ in range(i % 2))]) for i in range(6)]
+    planted = len(texts)
+    texts += ["a b\n\nc d", "a b\n\nc d", made(60) + "\n" + made(3)]
+    texts.append(texts[-1].split("\n")[0] + "\n" + made(4))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [x.text for x in linededup.line_dedup(docs, passages=True).orderBy("doc_id").collect()]
+    for i, (t, g) in enumerate(zip(texts[:planted], got, strict=False)):
+        lines, k, n = t.split("\n"), i // 6 + 1, i % 6
+        assert g == (t if n == 0 else "\n".join(lines[: n % 3] + lines[n % 3 + k :])), (k, n)
+    assert got[planted:] == ["a b\n\nc d", "", texts[-2], texts[-1].split("\n")[1]]
+
+    src = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").orderBy("doc_id").toPandas()
+    out = {x.doc_id: x for x in linededup.op8_line_dedup(spark, small).collect()}
+    seen, every = set(), set()
+    for d, t in src.itertuples(index=False):
+        lines, gone = t.split("\n"), set()
+        for run, a, b in brute_runs(lines[:60]):
+            if run in seen:
+                gone.update(range(a, b))
+            seen.add(run)
+        assert out[d].n_removed >= len(gone) and out[d].n_lines == len(lines)
+        if len(lines) <= 60:
+            assert not Counter(lines[i] for i in gone) - (Counter(lines) - Counter(out[d].text.split("\n")))
+        every.update(out[d].text.split("\n"))
+    assert {x for t in src.text for x in t.split("\n") if words(x)} <= every
