@@ -1,5 +1,7 @@
 """The pipeline against the stages' own brute-force meaning, on the small table."""
 
+import random
+
 import corpus_pipeline
 from quillspark.llm import decontaminate, simhash
 
@@ -24,3 +26,29 @@ def test_stages(spark, small):
     for r in got:
         total[r.doc_id] = total.get(r.doc_id, 0) + r.length
     assert all(total[r.doc_id] == r.doc_tokens for r in got)
+
+
+def table_of(spark, texts):
+    return spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_near_copies(spark, small):
+    """Of words that differ in one place in 100 one copy stays, in pairs and in a large group; at a similarity below 0.8 both stay."""
+    r = random.Random(4)
+    made = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    texts, want = [], set()
+    for _ in range(20):
+        a = made(100)
+        b, c = [*a], [*a]
+        b[50] = "changed"
+        for i in range(10, 100, 20):
+            c[i] = "other"
+        want |= {len(texts), len(texts) + 2}
+        texts += [a, b, c]
+    base, first = made(200), len(texts)
+    for i in range(60):
+        texts.append([*base])
+        texts[-1][r.randrange(200)] = f"v{i}"
+    want.add(first)
+    docs = table_of(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])
+    assert {x.doc_id for x in corpus_pipeline.drop_near_copies(spark, docs, small).collect()} == want
