@@ -52,3 +52,12 @@ def test_near_copies(spark, small):
     want.add(first)
     docs = table_of(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])
     assert {x.doc_id for x in corpus_pipeline.drop_near_copies(spark, docs, small).collect()} == want
+
+
+def test_equal_texts(spark, small):
+    """Of equal texts one document stays, and of those that line dedup empties one."""
+    long = "\n".join(" ".join(f"w{i}x{j}" for j in range(30)) for i in range(5))
+    docs = table_of(spark, [*((i, long) for i in range(5)), (5, "short one"), (6, "short one"), (7, ""), (8, " \n"), (9, "a b\nc d\ne f"), (10, "a b\nc d\ne f")])
+    out = corpus_pipeline.drop_repeated_lines(spark, docs, small)
+    assert {x.doc_id for x in out.where("text = ''").collect()} == {1, 2, 3, 4, 7, 10}
+    assert {x.doc_id for x in corpus_pipeline.drop_near_copies(spark, out, small).collect()} == {0, 1, 5, 9}
