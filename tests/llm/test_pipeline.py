@@ -61,3 +61,10 @@ def test_equal_texts(spark, small):
     out = corpus_pipeline.drop_repeated_lines(spark, docs, small)
     assert {x.doc_id for x in out.where("text = ''").collect()} == {1, 2, 3, 4, 7, 10}
     assert {x.doc_id for x in corpus_pipeline.drop_near_copies(spark, out, small).collect()} == {0, 1, 5, 9}
+
+
+def test_near_copies_repeated_ids(spark, small):
+    """A doc_id with two texts loses only the one that is a copy; a row repeated whole stays once."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(20)) for x in "abc")
+    docs = table_of(spark, [(1, a), (1, a), (2, a), (2, b), (3, c), (3, c)])
+    assert sorted((x.doc_id, x.text) for x in corpus_pipeline.drop_near_copies(spark, docs, small).collect()) == [(1, a), (2, b), (3, c)]
