@@ -1,14 +1,15 @@
 """Benchmark decontamination by winnowing, in built-in functions only.
 
-Both sides are cut into words, every run of ``GRAM`` words gets a hash, and a window of
-``SPAN`` words is represented by the least of its ``SPAN - GRAM + 1`` gram hashes. Equal
-windows have equal fingerprints, so joining fingerprints finds every shared span of SPAN
-words; a hit is then extended to its whole window, whose words are compared.
-An item of fewer than SPAN words is one window, fingerprinted by all its words.
-
-Cases: null or wordless texts have no words and no hits; an empty table gives no rows (an
-empty benchmark: no hits); rows that repeat a doc_id with the same text are one row, with
-another text they are rows of their own; further columns of either side are ignored.
+Both sides are cut into words, every run of ``GRAM`` words gets a hash, and of each window
+of ``SPAN`` words the least of its ``GRAMS`` gram hashes is kept, at its first place. Equal
+windows keep equal hashes, so joining them finds every shared span of SPAN words; a hit is
+then extended to the windows around its place, whose words are compared. An item of fewer
+than SPAN words is one window, fingerprinted by all its words.
+
+Cases: null or wordless texts have no words and no hits; texts are taken whole, however
+long, with two or three fingerprints for ten words; of equal least hashes the first counts,
+on both sides; an empty table gives no rows (an empty benchmark: no hits); rows that repeat
+a doc_id give a row each; further columns of either side are ignored.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ from .common import cut, table
 
 #: Words in a window, and in a gram: 13 = 8 + 6 - 1.
 SPAN, GRAM = 13, 8
-#: Fingerprints of up to this many windows are broadcast (some 100 bytes each); more are joined by shuffle.
-BROADCAST_ROWS = 500_000
+#: Grams of a window.
+GRAMS = SPAN - GRAM + 1
+#: The benchmark's windows are broadcast up to this size; larger ones are joined by shuffle.
+BROADCAST_BYTES = 64 << 20
 #: What separates words, once A-Z are lower-case.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -40,7 +43,17 @@ def _hash(array: str, start: str, n: int) -> str:
 
 def _least(start: str) -> str:
     """The fingerprint of the window at ``start``, from the gram hashes h."""
-    return "least(" + ", ".join(f"h[{start} + {j}]" for j in range(SPAN - GRAM + 1)) + ")"
+    return "least(" + ", ".join(f"h[{start} + {j}]" for j in range(GRAMS)) + ")"
+
+
+def _where(start: str, least: str) -> str:
+    """The place of the window's fingerprint: the first gram that has the least hash."""
+    return "case " + " ".join(f"when h[{start} + {j}] = {least} then {start} + {j}" for j in range(GRAMS)) + " end"
+
+
+def _worded(df: DataFrame, *keep: str | Column) -> DataFrame:
+    """keep, w (words) and n (how many)."""
+    return df.select(*keep, words(F.col("text")).alias("w")).withColumn("n", F.size("w"))
 
 
 def _hashed(df: DataFrame) -> DataFrame:
@@ -50,62 +63,67 @@ def _hashed(df: DataFrame) -> DataFrame:
     )
 
 
-def _windows_of(df: DataFrame, span: int, keep: list[str]) -> DataFrame:
-    """keep, s, f: start and fingerprint of each window of ``span`` words."""
-    rows = df.where(F.col("n") >= span).selectExpr(*keep, "wh", "h", f"explode(sequence(0, n - {span})) s")
-    return rows.selectExpr(*keep, "s", f"{_least('s') if span == SPAN else _hash('wh', 's', span)} f")
-
-
 def windows(benchmark: DataFrame) -> DataFrame:
     """(item_id, span, f, win): each window of each item, once: its length, fingerprint and words."""
-    items = _hashed(benchmark.select("item_id", words(F.col("text")).alias("w")).withColumn("n", F.size("w")).where("n > 0"))
-    parts = [_windows_of(items, SPAN, ["item_id", "w"]).withColumn("span", F.lit(SPAN))]
-    parts += [_windows_of(items.where(F.col("n") == k), k, ["item_id", "w"]).withColumn("span", F.lit(k)) for k in range(1, SPAN)]
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    return found.select("item_id", "span", "f", F.array_join(F.slice("w", F.col("s") + 1, F.col("span")), " ").alias("win")).distinct()
+    items = _hashed(_worded(benchmark, "item_id").where("n > 0"))
+    starts = items.selectExpr("item_id", "w", "wh", "h", "n", f"least(n, {SPAN}) span", f"explode(sequence(0, greatest(n - {SPAN}, 0))) s")
+    f = F.expr(f"if(span = {SPAN}, {_least('s')}, xxhash64(wh))")
+    return starts.select("item_id", "span", f.alias("f"), F.array_join(F.slice("w", F.col("s") + 1, F.col("span")), " ").alias("win")).distinct()
+
+
+def _picked(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, n, w, p, f): place and hash of each fingerprint of each document, and a row with p = -1 for the document itself.
+
+    Neighbouring windows mostly have the same fingerprint, which is given once.
+    """
+    rows = _hashed(docs).selectExpr("doc_id", "th", "n", "w", "h", f"explode(sequence(-1, greatest(n - {SPAN}, -1))) s")
+    rows = rows.withColumn("f", F.expr(f"if(s < 0, null, {_least('s')})")).withColumn("p", F.expr(f"if(s < 0, -1, {_where('s', 'f')})"))
+    # the window before has this fingerprint too if its first gram's hash is greater and its other grams include the place
+    same = f"s > 0 and p < s + {GRAMS - 1} and h[s - 1] > f"
+    return rows.where(f"not ({same})").select("doc_id", "th", "n", "w", "p", "f")
+
+
+def _short(docs: DataFrame, spans: list[int]) -> DataFrame:
+    """(doc_id, th, n, w, span, p, f): hash and place of each run of so many words, for all of the lengths in one scan."""
+    rows = docs.withColumn("wh", F.transform("w", lambda x: F.xxhash64(x))).withColumn("span", F.explode(F.array(*map(F.lit, spans)))).where("n >= span")
+    return rows.selectExpr("doc_id", "th", "n", "w", "wh", "span", "explode(sequence(0, n - span)) p").selectExpr("doc_id", "th", "n", "w", "span", "p", "xxhash64(slice(wh, p + 1, span)) f")
 
 
 def hits(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, th, n, s, span, item_id): a row without s for each document, and one for each window that an item shares.
 
-    th is a hash of the text. The scan of the documents emits no row for a window whose
-    fingerprint the benchmark lacks, so what is shuffled are documents and hits.
+    th is a hash of the text. A document's fingerprint that the benchmark lacks gives no
+    row, so what is shuffled are documents and hits. A shared fingerprint is extended to
+    all windows that it can stand for. The items of fewer than SPAN words, if there are
+    any, take one further scan together, whatever their lengths.
     """
     wins = cut(windows(benchmark))
-    small = wins.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    spans = [r.span for r in wins.select("span").distinct().orderBy("span").collect()]  # SPAN values at most
-    near = F.broadcast if small else (lambda x: x)
-    base = documents.select("doc_id", F.xxhash64("text").alias("th"), words(F.col("text")).alias("w")).withColumn("n", F.size("w"))
-    found = base.select("doc_id", "th", "n", F.lit(None).cast("int").alias("s"), F.lit(None).cast("int").alias("span"), F.lit(None).cast("string").alias("win")) if SPAN not in spans or not small else None
-    for span in spans:
-        prints = near(wins.where(F.col("span") == span).select("f").distinct().withColumn("in", F.lit(True)))
-        docs = _hashed(base)
-        if not small:
-            some = _windows_of(docs, span, ["doc_id", "th"]).select("doc_id", "th", "f").distinct()
-            some = some.join(prints, "f", "left_semi").select("doc_id", "th").distinct()
-            docs = docs.join(some, ["doc_id", "th"], "left_semi")
-        if span == SPAN and small:
-            # -1 stands for the document itself, which saves a second scan
-            rows = docs.selectExpr("doc_id", "th", "n", "w", "h", f"explode(sequence(-1, greatest(n - {SPAN}, -1))) s")
-            rows = rows.withColumn("f", F.expr(f"if(s < 0, null, {_least('s')})")).join(prints, "f", "left").where("s < 0 or in")
-            rows = rows.selectExpr("doc_id", "th", "n", "nullif(s, -1) s", f"if(s < 0, null, {SPAN}) span", f"if(s < 0, null, array_join(slice(w, s + 1, {SPAN}), ' ')) win")
-        else:
-            rows = _windows_of(docs, span, ["doc_id", "th", "n", "w"]).join(prints, "f", "left_semi")
-            rows = rows.selectExpr("doc_id", "th", "n", "s", f"{span} span", f"array_join(slice(w, s + 1, {span}), ' ') win")
-        found = rows if found is None else found.unionByName(rows)
+    size = wins.select(F.sum(F.octet_length("win") + F.octet_length(F.col("item_id").cast("string")) + 64)).first()[0] or 0
+    near = F.broadcast if size <= BROADCAST_BYTES else (lambda x: x)
+    spans = [r.span for r in wins.where(F.col("span") < SPAN).select("span").distinct().orderBy("span").collect()]  # SPAN values at most
+    base = _worded(documents, "doc_id", F.xxhash64("text").alias("th"))
+    prints = near(wins.where(F.col("span") == SPAN).select("f").distinct().withColumn("in", F.lit(True)))
+    met = _picked(base).join(prints, "f", "left").where("p < 0 or in").selectExpr("doc_id", "th", "n", "w", f"if(p < 0, 0, {SPAN}) span", "p")
+    if spans:
+        met = met.unionByName(_short(base, spans).join(near(wins.where(F.col("span") < SPAN).select("span", "f").distinct()), ["span", "f"], "left_semi").drop("f"))
+    if size > BROADCAST_BYTES:  # places are looked up without words, which are joined to those found
+        places = met.where("span > 0").groupBy("doc_id", "th").agg(F.collect_set(F.struct("span", "p")).alias("ps"))
+        itself = F.array(F.struct(F.lit(0).alias("span"), F.lit(-1).alias("p")))
+        met = base.join(places, ["doc_id", "th"], "left").withColumn("x", F.explode(F.concat(itself, F.coalesce("ps", F.slice(itself, 1, 0))))).select("doc_id", "th", "n", "w", "x.*")
+    found = met.selectExpr("doc_id", "th", "n", "w", "span", f"explode(if(span = 0, array(null), if(span < {SPAN}, array(p), sequence(greatest(p - {GRAMS - 1}, 0), least(p, n - {SPAN}))))) s")
+    found = found.selectExpr("doc_id", "th", "n", "s", "nullif(span, 0) span", "if(span = 0, null, array_join(slice(w, s + 1, span), ' ')) win")
     # the words themselves decide
     sure = found.join(near(wins.select("item_id", F.col("span").alias("k"), F.col("win").alias("v"))), (F.col("span") == F.col("k")) & (F.col("win") == F.col("v")), "left")
     return sure.where("s is null or item_id is not null").select("doc_id", "th", "n", "s", "span", "item_id")
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, th, n_words, spans, items): hit windows (start, length) and the items they are from."""
+    """(doc_id, th, n_words, spans, items, rows): hit windows (start, length), the items they are from, and how many rows are alike."""
     return hits(documents, benchmark).groupBy("doc_id", "th").agg(
         F.max("n").alias("n_words"),
         F.array_sort(F.collect_set(F.when(F.col("s").isNotNull(), F.struct("s", "span")))).alias("spans"),
         F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"),
+        F.count_if(F.col("s").isNull()).alias("rows"),
     )
 
 
@@ -116,21 +134,21 @@ N_HIT = """aggregate(spans, named_struct('sum', 0L, 'end', 0L),
 
 
 def report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """A row for each document: words, hit words, items, and whether it counts as contaminated."""
-    out = decontaminate(documents, benchmark).withColumn("n_hit", F.expr(N_HIT))
+    """A row for each row of documents: words, hit words, items, whether it counts as contaminated, and whether a whole window of SPAN words is in it (full)."""
+    out = decontaminate(documents, benchmark).withColumn("n_hit", F.expr(N_HIT)).withColumn("_", F.expr("explode(sequence(1, rows))"))
     return out.select(
         "doc_id", F.col("n_words").cast("long").alias("n_words"), "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "th",
+        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), F.expr(f"exists(spans, x -> x.span = {SPAN})").alias("full"), "th",
     )
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("th")
+    return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("full", "th")
 
 
 OP6_SQL = r"""
-WITH d AS (SELECT DISTINCT doc_id, text FROM documents),
+WITH d AS (SELECT doc_id, text FROM documents),
 dw AS (SELECT doc_id, row_number() OVER () rid, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM d),
 bw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM benchmark),
 b AS (SELECT item_id, len(w) n, w FROM bw WHERE len(w) > 0),

@@ -208,20 +208,41 @@ def test_decontaminate_matches_sql(spark, medium):
     assert sorted(got.itertuples(index=False, name=None)) == sorted(want.itertuples(index=False, name=None))
 
 
-@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_ROWS, 0])
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_BYTES, 0])
 def test_decontaminate_odd(spark, odd, limit, monkeypatch):
     """Short items, items of 13 words, none and null, by broadcast and by shuffle."""
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", limit - 1)
     items = spark.createDataFrame([(1, "ONE, two!"), (2, "x"), (3, None), (4, "..."), (5, " ".join(f"w{i}" for i in range(100, 113))), (5, " ".join(f"w{i}" for i in range(100, 113))), (6, " ".join(f"w{i}" for i in range(105, 119)))], "item_id long, text string")
     got = rows(decontaminate.report(odd, items))
     by = {r.doc_id: r for r in got.itertuples()}
     assert (by[5].n_hit, by[5].n_words, by[5].n_items) == (2, 2, 1) and by[5].contaminated
     assert by[6].n_hit == 1 and by[4].n_hit == 19 and by[4].n_items == 2 and not by[4].contaminated
+    assert len(got) == odd.count() and sum(got.doc_id == 5) == 2
+    assert by[4].full and not by[6].full
     assert by[1].n_words == 0 and not by[1].contaminated and by[4].items_sha256 == hashlib.sha256(b"5,6").hexdigest()
     none = rows(decontaminate.report(odd, items.limit(0)))
     assert len(none) == len(got) and (none.n_hit == 0).all()
 
 
+def test_decontaminate_repeated_words(spark):
+    """Texts of a few words over and over, where neighbouring grams have equal hashes, against brute force."""
+    r = random.Random(6)
+    say = lambda n: " ".join(r.choice(["a", "a", "a", "b"]) for _ in range(n))
+    texts, items = [say(r.randrange(5, 90)) for _ in range(60)] + ["a " * 200, "a b " * 40], [say(r.randrange(3, 30)) for _ in range(12)] + ["a " * 20, "b a " * 8]
+    got = {x.doc_id: (x.n_hit, x.n_items) for x in decontaminate.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        w, hit, met = t.split(), set(), set()
+        for k, it in enumerate(items):
+            x = it.split()
+            n = min(13, len(x))
+            wins = {tuple(x[j : j + n]) for j in range(len(x) - n + 1)}
+            for j in range(len(w) - n + 1):
+                if tuple(w[j : j + n]) in wins:
+                    hit.update(range(j, j + n))
+                    met.add(k)
+        assert got[i] == (len(hit), len(met))
+
+
 def brute_chunks(text):
     lines = text.split("\n")
     h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in lines]
