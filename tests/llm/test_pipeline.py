@@ -68,3 +68,25 @@ def test_near_copies_repeated_ids(spark, small):
     a, b, c = (" ".join(f"{x}{i}" for i in range(20)) for x in "abc")
     docs = table_of(spark, [(1, a), (1, a), (2, a), (2, b), (3, c), (3, c)])
     assert sorted((x.doc_id, x.text) for x in corpus_pipeline.drop_near_copies(spark, docs, small).collect()) == [(1, a), (2, b), (3, c)]
+
+
+def test_contaminated_long_text(spark, small):
+    """A passage of 13 benchmark words under a twentieth of a long text drops it; 12 words do not, and clean texts stay."""
+    item = spark.read.parquet(f"{small}/benchmark.parquet").orderBy("item_id").first().text.split()
+    r = random.Random(5)
+    made = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    docs = table_of(spark, [(1, " ".join([*made(2000), *item[:13], *made(2000)])), (2, " ".join([*made(100), *item[:12], *made(10)])), (3, " ".join(made(50))), (4, "")])
+    assert {x.doc_id for x in corpus_pipeline.drop_contaminated(spark, docs, small).collect()} == {2, 3, 4}
+
+
+def test_odd_rows(spark, small):
+    """Nulls, empty and very long texts, repeated rows, extra columns of clashing names and an empty table."""
+    long = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(1, None), (2, ""), (3, " \n"), (4, long), (4, long), (5, "one two"), (5, "three four"), (6, "x"), (None, "a null id")]
+    docs = spark.createDataFrame([(d, t, None, None, None, 1, 2) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, th long, n int")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), small).count() == 0
+        docs = spark.createDataFrame(stage(spark, docs, small).collect(), "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((str(x.doc_id), x.text or "") for x in docs.collect())
+    assert got == sorted([("1", ""), ("4", long), ("5", "one two"), ("5", "three four"), ("6", "x"), ("None", "a null id")])
+    assert corpus_pipeline.pack(spark, docs, small).count() > 5 and corpus_pipeline.pack(spark, docs.limit(0), small).count() == 0
