@@ -307,19 +307,38 @@ def test_quality(spark, medium, odd):
     assert (rows(quality.score(odd, r)).score.round(9) == 0.7).all()
 
 
-@pytest.mark.parametrize("which", ["table", "odd", "copies"])
+@pytest.mark.parametrize("which", ["table", "odd", "copies", "same"])
 def test_sharding(spark, medium, odd, which):
     docs = spark.read.parquet(f"{medium}/documents.parquet") if which == "table" else odd
-    if which == "copies":  # one text has a third of the rows
-        docs = spark.createDataFrame([(i, "same text " * 20 if i % 3 == 0 else f"text {i} " * 20) for i in range(6000)], "doc_id long, text string")
+    if which == "copies":  # one text has a third of the rows, fifty have a hundred each
+        made = lambda i: "same text " * 20 if i % 3 == 0 else f"often {i % 50} " * 20 if i % 3 == 1 else f"text {i} " * 20
+        docs = spark.createDataFrame([(i, made(i)) for i in range(15_000)], "doc_id long, text string")
+    elif which == "same":  # rows that are equal in doc_id too
+        docs = spark.range(4000).selectExpr("5L as doc_id", "'equal rows' as text")
     src, got = rows(docs.select("doc_id", "text")), rows(sharding.shard(docs))
     want = sorted((d, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for d, t in src.itertuples(index=False))
     assert sorted(got[["doc_id", "size", "crc"]].itertuples(index=False, name=None)) == want
     for _, g in got.groupby("shard"):
         assert sorted(g.slot) == list(range(len(g)))
+    for (_, size), g in got.groupby(["crc", "size"]):
+        if len(g) <= len(got) / 40 and len(g) * size <= got["size"].sum() / 40:
+            assert g.shard.nunique() == 1
     if which != "odd":
-        size = got.groupby("shard")["size"].sum()
+        size, n = got.groupby("shard")["size"].sum(), got.groupby("shard").size()
         assert len(size) == 40 and size.max() <= size.mean() * 1.02 + (which == "table") * got["size"].max() / 4
+        assert which == "table" or n.max() <= 1.05 * n.mean()
+
+
+def test_sharding_small_groups(spark):
+    """Groups too small to be packed one by one are balanced as well, by bytes, tokens and rows."""
+    docs = spark.range(60_000).selectExpr("id as doc_id", "repeat(concat('w', id % 40000, if(id % 7 < 3, ' ', '')), cast(1 + pow(id % 40000 % 97, 1.3) as int)) as text")
+    got = rows(sharding.shard(docs))
+    assert all(got.groupby(["crc", "size"]).shard.nunique() == 1)
+    for c in ("size", "tokens"):
+        s = got.groupby("shard")[c].sum()
+        assert len(s) == 40 and s.max() <= 1.02 * s.mean() and s.min() >= 0.98 * s.mean()
+    n = got.groupby("shard").size()
+    assert n.max() <= 1.02 * n.mean()
 
 
 def test_html(spark, medium):
