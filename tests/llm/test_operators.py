@@ -175,6 +175,35 @@ def test_topk_odd_vectors(spark):
     assert topk.top_k(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_topk_odd_rows(spark):
+    """Repeated vec_ids with equal and unlike vectors, very long vectors, further columns, and no vec_id: as the SQL has it."""
+    r = np.random.default_rng(3)
+    data = [(i, r.standard_normal(3).tolist(), 1) for i in range(100)] + [(0, [0.1, 0.2, 0.3], 2), (50, [0.5, 0.5, 0.5], 3), (50, [0.5, 0.5, 0.5], 4), (7, [1.0, 1.0, 1.0], 5), (None, [1.0, 1.0, 1.0], 6)]
+    data += [(1000 + i, r.standard_normal(5000).tolist(), 1) for i in range(60)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, score int")
+    v = topk.quantised(df)
+    got = rows(topk.top_k(v, v.where("vec_id % 50 = 0")))
+    c = duckdb.connect()
+    embeddings = df.toPandas()  # noqa: F841
+    assert sorted(got.itertuples(index=False, name=None)) == sorted(c.execute(topk.OP3_SQL).df().itertuples(index=False, name=None))
+
+
+def test_topk_sums_few_pairs(medium):
+    """Most pairs are dropped before their last slice is scored, and none that belongs to the best."""
+    v = np.floor(np.stack(pd.read_parquet(f"{medium}/embeddings.parquet").embedding) * 256.0).astype(np.int64)
+    q = v[::50]
+    every = q @ v.T
+    first = [topk.leaders(v[i : i + topk.ROWS], q, n, topk.LEADERS) for n, i in enumerate(range(0, len(v), topk.ROWS))]
+    low = np.array([sorted(np.concatenate([s[qi == k] for qi, _, s in first]))[-topk.K] for k in range(len(q))])
+    assert all((low[k] <= np.sort(every[k])[-topk.K]) for k in range(len(q)))
+    qi, ci, s = topk.collect(v, q, low)
+    assert (every[qi, ci] == s).all() and len(qi) < 0.6 * every.size
+    assert {(a, b) for a, b in zip(qi.tolist(), ci.tolist(), strict=True)} >= {(a, b) for a, b in zip(*(x.tolist() for x in np.nonzero(every >= low[:, None])), strict=True)}
+    # with the cutoffs that a part reaches in the end, few are left
+    qi, _, _ = topk.collect(v, q, np.sort(every, axis=1)[:, -topk.K])
+    assert len(qi) < 0.3 * every.size
+
+
 def test_packing(spark, medium, odd):
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     for docs in (spark.read.parquet(f"{medium}/documents.parquet"), odd):
