@@ -10,9 +10,11 @@ Labelled rows whose crc32(doc_id) mod 4 is ``HELD`` are never learned from. The
 fitted on the ``SAMPLE`` others with the least hash of doc_id and ``PAIRS`` pairs, bounds
 that hold the driver's share constant; every whole text is scored.
 
-Cases: null and empty texts have zero features and a score like any other; without
-labelled rows of both kinds every score is ``CUT``; rows that repeat a doc_id are scored
-each; an empty table gives no rows; further columns are ignored.
+Cases: null and empty texts have zero features and a score like any other; very long texts
+are measured whole; texts of equal features tie, and a score of just ``CUT`` counts as good;
+without labelled rows of both kinds every score is ``CUT``; rows that repeat a doc_id are
+scored each, but learned from once (by their least text and the greatest of the doc_id's
+labels); an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .linear import fit_logistic, sigmoid
+from .linear import fit_logistic, sample, sigmoid
 
 SAMPLE, PAIRS, HELD, CUT, SEED = 8000, 40_000, 2, 0.7, 7
 FEATURES = 22
@@ -98,15 +100,14 @@ def held_out(doc_id) -> F.Column:
 
 def fit(documents: DataFrame, labels: DataFrame) -> Ranker:
     """A ranker from SAMPLE labelled rows at most, none of them held out."""
-    chosen = labels.where(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), "text")
+    rows = sample(documents, labels, "quality", SAMPLE, ~held_out(F.col("doc_id"))).select("doc_id", "quality", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = _table(b.column("text").to_pylist())
             yield pa.record_batch([b.column("doc_id"), b.column("quality"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
 
-    got = rows.mapInArrow(run, "doc_id long, quality int, x array<double>").orderBy("doc_id", "quality", F.col("x").cast("string")).toPandas()
+    got = rows.mapInArrow(run, "doc_id long, quality int, x array<double>").orderBy("doc_id").toPandas()
     y = got.quality.to_numpy()
     if len(set(y)) < 2:
         return Ranker(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), 0.0, 1.0)

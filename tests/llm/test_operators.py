@@ -314,17 +314,54 @@ def test_line_dedup(spark, medium, odd, which, monkeypatch):
     assert out.columns[: len(docs.columns)] == docs.columns
 
 
-def test_toxicity(spark, medium, odd):
-    docs, labels = spark.read.parquet(f"{medium}/documents.parquet"), spark.read.parquet(f"{medium}/labels.parquet")
+def test_toxicity(spark, odd):
+    """Held-out labels in all languages: a third of the labels is not learned from."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
     train, test = labels.where("doc_id % 3 <> 0"), labels.where("doc_id % 3 = 0")
     chain = toxicity.fit(docs, train)
-    assert [len(w) for w in chain.weights] == [len(chain.marks) + 1, len(chain.marks) + 2, len(chain.marks) + 3]
+    assert len(chain.languages) == toxicity.LINKS and [len(w) for w in chain.weights] == [len(chain.marks) + 1 + i for i in range(toxicity.LINKS + 1)]
     got = rows(toxicity.score(docs.join(test, "doc_id"), chain))
-    hit = got.p_toxic >= chain.threshold
-    en = got.lang == "en"
-    assert (hit & (got.toxic == 1) & en).sum() >= 0.9 * ((got.toxic == 1) & en).sum() and (hit & (got.toxic == 0)).sum() <= 0.01 * len(got)
+    hit, bad = got.p_toxic >= chain.threshold, got.toxic == 1
+    assert (hit & bad).sum() >= 0.9 * bad.sum() and (hit & ~bad).sum() <= 0.005 * len(got)
+    for i, lang in enumerate(chain.languages):  # a language's link knows its own toxic rows from the others'
+        own = bad & (got.lang == lang)
+        assert got[f"p_language_{i + 1}"][own].mean() > 0.6 and got[f"p_language_{i + 1}"][bad & ~own].mean() < 0.1
+        assert (hit & own).sum() >= 0.85 * own.sum()
     assert toxicity.score(odd, chain).count() == odd.count() and toxicity.keep_clean(odd, labels).columns == odd.columns
-    assert toxicity.keep_clean(odd, labels.limit(0)).count() == odd.count()
+
+
+def test_toxicity_folds_do_not_see_their_rows(spark):
+    """A word that marks the toxic rows of one fold alone is unknown to the model that scores this fold."""
+    r = random.Random(7)
+    ids = list(range(3000))
+    fold = {x.doc_id: x.f for x in spark.createDataFrame([(i,) for i in ids], "doc_id long").withColumn("f", toxicity.fold_of(toxicity.F.col("doc_id"))).collect()}
+    text = {i: " ".join("".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(20)) + (f" zzqqx{'klm'[fold[i]]}vv" if i % 5 == 0 else "") for i in ids}
+    docs = spark.createDataFrame([(i, text[i]) for i in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in ids], "doc_id long, toxic int")
+    seen = []
+    real = toxicity.fit_chain
+    toxicity.fit_chain = lambda x, y, f, c: seen.append((x, y, f, c, real(x, y, f, c))) or seen[-1][-1]
+    try:
+        toxicity.fit(docs, labels)
+    finally:
+        toxicity.fit_chain = real
+    x, y, f, columns, (_, oof) = seen[0]
+    for k in range(toxicity.FOLDS):
+        own = {int(c) for c in np.flatnonzero((x[f == k] > 0).any(axis=0) & ~(x[f != k] > 0).any(axis=0))}
+        assert own and not own & set(columns[k].tolist()) and own & set(columns[-1].tolist())
+
+
+def test_toxicity_odd_labels(spark, odd):
+    labels = spark.createDataFrame([(5, 0, 1), (5, 0, 0), (8, 1, 0), (None, 1, 1), (6, None, None), (99, 1, 1)], "doc_id long, quality int, toxic int")
+    assert toxicity.keep_clean(odd, labels).count() == odd.count()  # too few rows to choose marks
+    assert toxicity.keep_clean(odd, labels.limit(0)).count() == odd.count() and toxicity.keep_clean(odd, labels.where("toxic = 1")).count() == odd.count()
+    assert toxicity.keep_clean(odd.limit(0), labels).count() == 0
+    clash = odd.withColumn("p_toxic", toxicity.F.lit("mine")).withColumn("_p", toxicity.F.lit(1))
+    assert toxicity.keep_clean(clash, labels).columns == clash.columns
+    many = odd.crossJoin(spark.range(300).select()).select("doc_id", "text")
+    got = toxicity.sample(many, labels, "toxic", 10).collect()
+    assert sorted((x.doc_id, x.toxic) for x in got) == [(5, 1), (8, 0)]
 
 
 def test_quality(spark, medium, odd):
@@ -332,6 +369,9 @@ def test_quality(spark, medium, odd):
     held = got[got.held_out]
     assert all(got.held_out == [zlib.crc32(str(d).encode()) % 4 == 2 for d in got.doc_id])
     assert (held.predicted == held.quality).mean() > 0.9 and ((got.score >= 0) & (got.score <= 1)).all()
+    assert quality.score(odd.limit(0), quality.fit(odd.limit(0), spark.createDataFrame([(1, 1)], "doc_id long, quality int"))).count() == 0
+    some = rows(quality.score(odd.withColumn("score", quality.F.lit("x")), quality.fit(odd, spark.createDataFrame([(4, 1), (5, 0), (5, 1), (6, 0), (6, 0), (9, None)], "doc_id long, quality int"))))
+    assert len(some) == odd.count() and some.score.between(0, 1).all() and some.score[some.doc_id.isin([4, 9])].nunique() == 1
     r = quality.fit(odd, spark.createDataFrame([], "doc_id long, quality int"))
     assert (rows(quality.score(odd, r)).score.round(9) == 0.7).all()
 
