@@ -14,18 +14,20 @@ a whole text of two or more non-blank lines. A shared run is the union of the sh
 of over PASSAGE words that begin or end at its lines, so these are what is looked up. A line
 that goes has an equal one in an earlier place, hence one that stays.
 
-Chunks and runs meet by hash; the bytes of those that share one are compared, and where they
-differ a digest takes part in the key.
+Chunks and runs meet by hash; the bytes of the lines of those that share one are compared,
+and where they differ a digest takes part in the key.
 
 Cases: a null text stays null and has no lines; an empty text has one empty line; a text
-of one line is a chunk of one line and stays (unless over PASSAGE words, with ``passages``); rows that repeat a doc_id are each judged by
-(doc_id, text), so an identical row is a repeat only of smaller doc_ids; an empty table
-gives no rows; all further columns are kept as they are.
+of one line is a chunk of one line and stays (unless over PASSAGE words, with ``passages``);
+very long texts are cut whole; of equal places in one document the first stays; rows that
+repeat a doc_id are each judged by (doc_id, text), and rows equal in both are one document,
+so all of them keep and lose the same lines; an empty table gives no rows; all further
+columns are kept as they are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, table
@@ -36,6 +38,8 @@ MIN_LINES = 2
 PASSAGE = 50
 #: What chunks and passages meet by.
 HASH = "xxhash64(c.t)"
+#: What lines are compared by before their bytes are.
+LINE_HASH = "xxhash64(y)"
 #: A range of lines is one number, first * RANGE + last.
 RANGE = 1 << 31
 
@@ -50,6 +54,11 @@ def _numbers(n: str) -> str:
     return f"if({n} < 1, cast(array() as array<int>), sequence(1, {n}))"
 
 
+def _loose(key: str) -> Column:
+    """The key as the planner does not know it, so that it deals what was summed by it anew and AQE can split a hot key of the join."""
+    return F.col(key).bitwiseXOR(F.lit(0)).alias(key)
+
+
 def units_sql(text: str = "text", passages: bool = False) -> str:
     """What the text can lose: t (lines joined by \\n), a and b (first and last line, from 1), chunk (whether it is a chunk).
 
@@ -77,24 +86,35 @@ def units_sql(text: str = "text", passages: bool = False) -> str:
     return _let("l", f"split({text}, '\\n', -1)", _let("d", chunks, f"transform({every}, (x, k) -> {piece})"))
 
 
+def _unlike(some: DataFrame) -> bool:
+    """Whether units that meet by hash differ in their bytes. some: (text, units), units with first and last line and h.
+
+    Each line is compared once for a text, with all lines of its hash, and each unit's
+    sequence of line hashes with those of the units of its hash: if both agree everywhere,
+    units of one hash have the same bytes.
+    """
+    lines = f"transform(array_distinct(flatten(transform(units, x -> slice(l, x.a, x.b - x.a + 1)))), y -> struct(0 as kind, {LINE_HASH} as h, y as v))"
+    series = f"transform(units, x -> struct(1 as kind, x.h as h, array_join(transform(slice(l, x.a, x.b - x.a + 1), y -> hex({LINE_HASH})), ' ') as v))"
+    seen = some.select(F.explode(F.expr(_let("l", "split(text, '\\n', -1)", f"concat({lines}, {series})"))).alias("x")).select("x.*")
+    return not seen.groupBy("kind", "h").agg(F.min("v").alias("x"), F.max("v").alias("y")).where("x <> y").isEmpty()
+
+
 def repeats(documents: DataFrame, passages: bool = False) -> DataFrame:
     """(doc_id, th, drop, chunks): for each text that loses lines, the ranges (a, b) lost, in order and apart, and how many chunks."""
     docs = documents.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), "text")
-    units = F.expr(units_sql(passages=passages))
-    unit = docs.select("doc_id", "th", F.posexplode(units).alias("no", "c"))
-    narrow = unit.select("doc_id", "th", "no", "c.a", "c.b", "c.chunk", F.expr(HASH).alias("h"))
+    unit = docs.select("doc_id", "th", F.explode(F.expr(units_sql(passages=passages))).alias("c"))
+    # a unit is one number: first line, last line, whether it is a chunk
+    narrow = unit.select("doc_id", "th", F.expr(f"(c.a * {RANGE}L + c.b) * if(c.chunk, -1, 1)").alias("u"), F.expr(HASH).alias("h"))
     # counts by hash are summed before they are shuffled; a join that AQE can split then finds the units with a partner
-    often = unit.select(F.expr(HASH).alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    met = cut(narrow.join(often, "h", "left_semi").select("doc_id", "th", "no", "a", "b", "chunk", "h"))
+    often = unit.select(F.expr(HASH).alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select(_loose("h"))
+    met = cut(narrow.join(often, "h", "left_semi").selectExpr("doc_id", "th", f"int(abs(u) div {RANGE}L) a", f"int(abs(u) % {RANGE}L) b", "u < 0 chunk", "h"))
     # only texts that hold such units are read again, for their bytes
-    some = docs.join(met.groupBy("doc_id", "th").agg(F.collect_set("no").alias("nos")), ["doc_id", "th"])
-    same = some.select("doc_id", "th", "nos", F.posexplode(units).alias("no", "c")).where("array_contains(nos, no)")
-    same = same.select("doc_id", "th", "no", "c.a", "c.b", "c.chunk", F.expr(HASH).alias("h"), F.col("c.t").alias("t"))
-    unlike = cut(same.groupBy("h").agg(F.min("t").alias("x"), F.max("t").alias("y")).where("x <> y").select("h"))
+    some = docs.join(met.groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "b", "chunk", "h")).alias("units")), ["doc_id", "th"])
     keyed = met.withColumn("g", F.lit(""))
-    if not unlike.isEmpty():  # a hash of several texts: there a digest tells them apart
-        keyed = same.join(unlike.withColumn("many", F.lit(True)), "h", "left").select("doc_id", "th", "a", "b", "chunk", "h", F.when(F.col("many"), F.sha2("t", 256)).otherwise("").alias("g"))
-    first = keyed.groupBy("h", "g").agg(F.min("doc_id").alias("first"))
+    if _unlike(some.select("text", "units")):  # a hash of several texts: a digest tells them apart
+        keyed = some.withColumn("l", F.split("text", "\n", -1)).select("doc_id", "th", "l", F.explode("units").alias("x"))
+        keyed = keyed.selectExpr("doc_id", "th", "x.*", "sha2(array_join(slice(l, x.a, x.b - x.a + 1), '\\n'), 256) g")
+    first = keyed.groupBy("h", "g").agg(F.min("doc_id").alias("first")).select(_loose("h"), "g", "first")
     marked = keyed.join(first, ["h", "g"])
     # of the first document's own places the least stays: a document's places are bounded by its lines
     per = marked.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("h", "g", "a", "b", "chunk", (F.col("first") < F.col("doc_id")).alias("later")))).alias("m"))
