@@ -17,9 +17,10 @@ sorted digests of its distinct windows, packed by ranges of digests, and merging
 arrays by binary search finds windows that are single in their shard but not in all. A
 shard's window is told once, so copies do not pile up in a range.
 
-Cases: null and empty texts, and those shorter than LENGTH, keep all; rows that repeat a
-doc_id with the same text are repeats of each other; an empty table gives no rows;
-further columns are ignored.
+Cases: null and empty texts, and those shorter than LENGTH, keep all; very long texts are
+dealt in parts that overlap by a window, so none is missed; every place of a repeated
+string goes, the first as well; rows that repeat a doc_id with the same text are repeats of
+each other; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ from .suffix import common_prefixes, in_others, suffix_array
 LENGTH, GRAM = 400, 64
 WINDOW = LENGTH - GRAM + 1
 #: Bytes looked at together, contexts of a gram in one shard, bytes of a shard.
-SLAB, HOT, SHARD = 1 << 21, 2000, 1 << 21
+SLAB, HOT, SHARD = 1 << 21, 512, 1 << 21
 _POSITION = np.uint64((1 << 24) - 1)
 
 
