@@ -6,15 +6,22 @@ role), its hashed words and a few numbers, and a bidirectional LSTM in numpy rea
 page's blocks forwards and backwards, so each is labelled in view of the whole document.
 Blocks labelled as main text are joined in page order.
 
-Training: no table says which blocks are main text, so the network learns from pages
-labelled by a list of structural names: ``PAGES`` pages made up from many layouts, and the
-``SAMPLE`` pages of the table with the least hash of page_id (a bound that holds the
-driver's share constant). Every page is then labelled in full.
+Training: no table says which blocks are main text. ``PAGES`` pages are made up from many
+layouts, and of these it is known which blocks were put in as main text, whatever their
+names: in ``NAMELESS`` of the pages no class or id tells anything, so paths, links, words
+and places must. They are joined by the ``SAMPLE`` pages of the table with the least hash of
+page_id (a bound that holds the driver's share constant), labelled by their elements and
+structural names. Every page is then labelled in full.
+
+A page is read once, from front to back, whatever is in it: a tag or comment that never
+ends is text or nothing, and paths share their parts, so time and memory follow the page's
+length. Elements more than ``DEPTH`` deep take part in no path.
 
 Cases: null, empty or tagless html is no block or one; scripts, styles, comments and
-templates are never text; unclosed and stray tags are tolerated; a page without main
-blocks has text ''; rows that repeat a page_id are extracted each; an empty table gives
-no rows; further columns are ignored.
+templates are never text; unclosed and stray tags are tolerated; very long pages are read
+whole; a page without main blocks has text ''; a block at the cut is not main text; rows
+that repeat a page_id are extracted each (and learned from once, by their least html); an
+empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,12 +43,16 @@ from .common import table
 PATH, WORDS, NUMBERS, HIDDEN = 128, 24, 5, 16
 INPUT = PATH + WORDS + NUMBERS
 PAGES, SAMPLE, EPOCHS, BATCH, SEED = 1200, 160, 8, 32, 11
-
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
-    re.S | re.I,
-)
-_ATTR = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+#: Share of made-up pages without telling names; deepest element that a path has; blocks of a page that are labelled together; what main text bears on made-up pages.
+NAMELESS, DEPTH, LONG, MARK = 0.25, 64, 2048, "\ue000"
+
+#: How a tag or comment begins.
+_OPEN = re.compile(r"<(?:!--|(/?)([a-zA-Z][a-zA-Z0-9:-]*)|[!?/])")
+#: What ends a tag, or a quoted value in it.
+_TAG_END = re.compile(r"[>\"']")
+#: Elements whose content is never text.
+RAW = set("script style noscript template iframe svg textarea".split())
+_ATTR = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _NAME = re.compile(r"[a-z]+")
 _BLANK = re.compile(r"\s+")
 #: Elements without content, and those that begin a block.
@@ -58,62 +69,149 @@ ASIDE = (
 _ASIDE = frozenset(ASIDE)
 
 
-def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int, int]]:
+class Path:
+    """An open element: its tag, the element around it, the nearest block element, and the names on the way from the top."""
+
+    __slots__ = ("around", "block", "depth", "link", "names", "tag")
+
+    def __init__(self, tag: str = "", names: tuple[str, ...] = (), around: Path | None = None):
+        self.tag, self.around = tag, around
+        self.depth = around.depth + 1 if around else 0
+        self.link = bool(around) and (around.link or tag == "a")
+        self.block = self if tag in BLOCKS or around is None else around.block
+        self.names: frozenset[str] = around.names if around else frozenset()
+        if self.depth <= DEPTH and not self.names.issuperset(names):
+            self.names = self.names.union(names)
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name, rest) in page order: text, open or close.
+
+    A search starts where the last one ended, and what was once sought to the end of the page
+    in vain is not sought again, so the page is gone over once for each kind of end.
+    """
+    at, n, never = 0, len(page), set()
+
+    def find(what: str, start: int) -> int:
+        """The place, or -1: remembered, as what is not ahead of one place is not ahead of later ones."""
+        if what in never:
+            return -1
+        k = page.find(what, start)
+        if k < 0:
+            never.add(what)
+        return k
+
+    while at < n:
+        m = _OPEN.search(page, at)
+        if m is None:
+            yield "text", "", page[at:]
+            return
+        if m.start() > at:
+            yield "text", "", page[at : m.start()]
+        if m[0] == "<!--":
+            k = find("-->", m.end())
+            at = n if k < 0 else k + 3
+            continue
+        if m[2] is None:
+            k = find(">", m.end())
+            if k < 0:
+                yield "text", "", page[m.start() : m.end()]
+                at = m.end()
+            else:
+                at = k + 1
+            continue
+        # the tag ends at the first > outside quotes; a quote without an end is an ordinary character
+        at, end = m.end(), -1
+        while end < 0 and "quotes" not in never:
+            k = _TAG_END.search(page, at)
+            if k is None:
+                never.add("quotes")
+            elif k[0] == ">":
+                end = k.start()
+            else:
+                q = find(k[0], k.end())
+                at = k.end() if q < 0 else q + 1
+        if end < 0:  # quotes don't match, so they count for nothing from here on
+            end = find(">", m.end())
+        if end < 0:
+            yield "text", "", page[m.start() : m.end()]
+            at = m.end()
+            continue
+        name, rest = m[2].lower(), page[m.end() : end]
+        at = end + 1
+        if m[1]:
+            yield "close", name, ""
+            continue
+        if name in RAW:
+            if not rest.endswith("/"):
+                at = _raw_end(page, name, at, never)
+            continue
+        yield "open", name, rest
+
+
+def _raw_end(page: str, name: str, at: int, never: set[str]) -> int:
+    """Where the content of a script or the like is over: after its end tag, or with the page."""
+    if f"</{name}" in never:
+        return len(page)
+    m = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+    if m is None:
+        never.add(f"</{name}")
+        return len(page)
+    return m.end()
+
+
+def blocks(page: str | None) -> list[tuple[Path, str, int, int]]:
     """(path, text, linked characters, all characters) of each leaf block with text, in page order."""
-    out, stack, buf, links = [], [], [], [0, 0]
-    page = page or ""
+    out: list[tuple[Path, str, int, int]] = []
+    buf: list[str] = []
+    links, top = [0, 0], Path()
+    opened: dict[str, list[Path]] = {}  # of each tag, outer ones first
 
     def flush() -> None:
         if buf:
             t = _BLANK.sub(" ", html.unescape("".join(buf))).strip()
             if t:
-                out.append((tuple(x for _, names in stack for x in names), t, links[0], max(links[1], 1)))
+                out.append((top, t, links[0], max(links[1], 1)))
             buf.clear()
             links[:] = [0, 0]
 
-    def text(s: str) -> None:
-        if s:
-            buf.append(s)
-            links[1] += len(s)
-            if any(t == "a" for t, _ in stack):
-                links[0] += len(s)
-
-    at = 0
-    for m in _TOKEN.finditer(page):
-        text(page[at : m.start()])
-        at = m.end()
-        tag = m[3]
-        if tag is None:
+    def leave(to: Path) -> Path:
+        """What is around ``to``, once it and all that is in it are closed."""
+        at = top
+        while True:
+            opened[at.tag].pop()
+            if at is to:
+                return at.around
+            at = at.around
+
+    for kind, tag, rest in tokens(page or ""):
+        if kind == "text":
+            buf.append(rest)
+            links[1] += len(rest)
+            if top.link:
+                links[0] += len(rest)
             continue
-        tag = tag.lower()
         if tag == "br":
             buf.append(" ")
             continue
         if tag in BLOCKS:
             flush()
-        if m[2]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-                if tag not in BLOCKS and stack[i][0] in BLOCKS:
-                    break
+        if kind == "close":
+            # an inline element ends within its block only
+            if opened.get(tag) and (tag in BLOCKS or opened[tag][-1].block is top.block):
+                top = leave(opened[tag][-1])
             continue
-        if tag in VOID or m[4].endswith("/"):
+        if tag in VOID or rest.endswith("/"):
             continue
-        if tag in BLOCKS:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p" or stack[i][0] == tag and tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
-                    del stack[i:]
-                    break
-                if stack[i][0] in BLOCKS:
-                    break
+        near = top.block
+        if tag in BLOCKS and (near.tag == "p" or near.tag == tag and tag in ("li", "dd", "dt", "tr", "td", "th", "option")):
+            top = leave(near)
         names = [tag]
-        if m[4] and "=" in m[4]:
-            for a in _ATTR.findall(m[4]):
+        if "=" in rest:
+            for a in _ATTR.findall(rest):
                 names += _NAME.findall("".join(a).lower())
-        stack.append((tag, names))
-    text(page[at:])
+        top = Path(tag, tuple(names), top)
+        opened.setdefault(tag, []).append(top)
     flush()
     return out
 
@@ -124,38 +222,42 @@ def _slot(word: str, width: int) -> tuple[int, float]:
     return h % width, 1.0 if h >> 16 & 1 else -1.0
 
 
-@lru_cache(maxsize=50_000)
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
+@lru_cache(maxsize=20_000)
+def _names_vector(names: frozenset[str]) -> np.ndarray:
     v = np.zeros(PATH, dtype=np.float32)
-    for name in set(path):
+    for name in names:
         for salt in "ab":
             i, s = _slot(salt + name, PATH)
             v[i] += s
     return v
 
 
-def vectors(found: list) -> np.ndarray:
-    """The input of the network: a row for each block of a page."""
-    x = np.zeros((len(found), INPUT), dtype=np.float32)
-    for i, (path, t, linked, chars) in enumerate(found):
-        x[i, :PATH] = _path_vector(path)
+def vectors(found: list, at: int = 0, to: int | None = None) -> np.ndarray:
+    """The input of the network: a row for each block of a page, or of those from ``at`` on."""
+    some = found[at:to]
+    x = np.zeros((len(some), INPUT), dtype=np.float32)
+    for i, (path, t, linked, chars) in enumerate(some):
+        x[i, :PATH] = _names_vector(path.names)
         w = t.split()
         for word in w:
             k, s = _slot(word, WORDS)
             x[i, PATH + k] += s
         x[i, PATH : PATH + WORDS] /= 4 * len(w) ** 0.5
-        x[i, PATH + WORDS :] = (np.log1p(len(w)) / 5, linked / chars, len(t) / len(w) / 20, t.count(".") / len(w), i / len(found))
+        x[i, PATH + WORDS :] = (np.log1p(len(w)) / 5, linked / chars, len(t) / len(w) / 20, t.count(".") / len(w), (at + i) / len(found))
     return x
 
 
 def teach(found: list) -> np.ndarray:
-    """1 for blocks that structural names mark as main text."""
-    within = next((n for n in ("article", "main") if any(n in p for p, *_ in found)), None)
-    out = np.zeros(len(found))
-    for i, (path, *_) in enumerate(found):
-        inside = within is None or within in path
-        out[i] = inside and not _ASIDE.intersection(path)
-    return out
+    """For a table's page: 1 for blocks that elements and structural names mark as main text."""
+    within = next((n for n in ("article", "main") if any(n in p.names for p, *_ in found)), None)
+    return np.array([float((within is None or within in p.names) and not _ASIDE.intersection(p.names)) for p, *_ in found])
+
+
+def known(page: str) -> tuple[list, np.ndarray]:
+    """For a made-up page: its blocks, and 1 for those put in as main text, which bear MARK."""
+    found = blocks(page)
+    y = np.array([float(MARK in t) for _, t, *_ in found])
+    return [(p, t.replace(MARK, ""), a, b) for p, t, a, b in found], y
 
 
 class BiLstm:
@@ -169,10 +271,11 @@ class BiLstm:
             self.p |= {f"w{d}": g(INPUT, 4 * HIDDEN), f"u{d}": g(HIDDEN, 4 * HIDDEN), f"c{d}": np.zeros(4 * HIDDEN, np.float32)}
             self.p[f"c{d}"][HIDDEN : 2 * HIDDEN] = 1
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, tape: list | None = None) -> np.ndarray:
-        """States (batch, time, HIDDEN); a masked step leaves the state as it was."""
+    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, tape: list | None = None, state: tuple | None = None) -> tuple[np.ndarray, tuple]:
+        """States (batch, time, HIDDEN), and what the last step leaves; a masked step leaves the state as it was."""
         b, t, _ = x.shape
-        h, c, out = np.zeros((b, HIDDEN), np.float32), np.zeros((b, HIDDEN), np.float32), np.zeros((b, t, HIDDEN), np.float32)
+        h, c = state or (np.zeros((b, HIDDEN), np.float32), np.zeros((b, HIDDEN), np.float32))
+        out = np.zeros((b, t, HIDDEN), np.float32)
         pre = x @ self.p[f"w{d}"] + self.p[f"c{d}"]
         for k in range(t) if d == "f" else range(t - 1, -1, -1):
             z = pre[:, k] + h @ self.p[f"u{d}"]
@@ -186,16 +289,16 @@ class BiLstm:
             c = m * c2 + (1 - m) * c
             h = m * o * tc + (1 - m) * h
             out[:, k] = h
-        return out
+        return out, (h, c)
 
     def logits(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
         o = self.p["o"]
-        return self._run(x, mask, "f") @ o[:HIDDEN] + self._run(x, mask, "b") @ o[HIDDEN : 2 * HIDDEN] + x @ o[2 * HIDDEN : -1] + o[-1]
+        return self._run(x, mask, "f")[0] @ o[:HIDDEN] + self._run(x, mask, "b")[0] @ o[HIDDEN : 2 * HIDDEN] + x @ o[2 * HIDDEN : -1] + o[-1]
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean logistic loss over unmasked blocks, by back-propagation through time."""
         tapes: dict[str, list] = {"f": [], "b": []}
-        s = {d: self._run(x, mask, d, tapes[d]) for d in "fb"}
+        s = {d: self._run(x, mask, d, tapes[d])[0] for d in "fb"}
         o = self.p["o"]
         z = s["f"] @ o[:HIDDEN] + s["b"] @ o[HIDDEN : 2 * HIDDEN] + x @ o[2 * HIDDEN : -1] + o[-1]
         dz = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * mask / mask.sum()).astype(np.float32)
@@ -237,21 +340,36 @@ class BiLstm:
                     self.p[k] = (self.p[k] - rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
         return self
 
-    def label(self, xs: list[np.ndarray]) -> list[np.ndarray]:
-        """Whether each block is main text; pages run together in batches of like length."""
-        out: list = [np.zeros(0, bool)] * len(xs)
-        order = sorted((i for i in range(len(xs)) if len(xs[i])), key=lambda i: len(xs[i]))
+    def label(self, pages: list[list]) -> list[np.ndarray]:
+        """Whether each block is main text; pages run together in batches of like length, and long ones by themselves."""
+        out: list = [np.zeros(0, bool)] * len(pages)
+        order = sorted((i for i in range(len(pages)) if pages[i]), key=lambda i: -len(pages[i]))
         at = 0
         while at < len(order):
-            n = max(1, min(256, 40_000 // len(xs[order[at]])))
-            some = order[at : at + n]
-            x, mask, _ = padded([xs[i] for i in some])
+            if len(pages[order[at]]) > LONG:
+                out[order[at]] = self.label_long(pages[order[at]])
+                at += 1
+                continue
+            some = order[at : at + max(1, min(256, 40_000 // len(pages[order[at]])))]
+            x, mask, _ = padded([vectors(pages[i]) for i in some])
             z = self.logits(x, mask)
             for row, i in enumerate(some):
-                out[i] = z[row, : len(xs[i])] > 0
-            at += n
+                out[i] = z[row, : len(pages[i])] > 0
+            at += len(some)
         return out
 
+    def label_long(self, found: list) -> np.ndarray:
+        """The same for one page, LONG blocks at a time in either direction, so that memory follows LONG."""
+        o, z = self.p["o"], np.full(len(found), self.p["o"][-1], np.float32)
+        for n, d in enumerate("fb"):
+            state = None
+            starts = range(0, len(found), LONG)
+            for a in starts if d == "f" else reversed(starts):
+                x = vectors(found, a, a + LONG)
+                out, state = self._run(x[None], np.ones((1, len(x)), np.float32), d, state=state)
+                z[a : a + LONG] += out[0] @ o[n * HIDDEN : (n + 1) * HIDDEN] + (x @ o[2 * HIDDEN : -1] if d == "f" else 0)
+        return z > 0
+
 
 def padded(xs: list[np.ndarray], ys: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     t = max(map(len, xs))
@@ -263,14 +381,18 @@ def padded(xs: list[np.ndarray], ys: list[np.ndarray] | None = None) -> tuple[np
     return x, mask, y
 
 
-def made_up_page(r: random.Random) -> str:
-    """A page of a random layout."""
-    say = lambda a, b: " ".join("".join(r.choice("the an on re ti st ou ing der ion es la que en sch ar ció".split()) for _ in range(r.randint(1, 4))) for _ in range(r.randint(a, b)))
+def made_up_page(r: random.Random, nameless: bool = False) -> str:
+    """A page of a random layout, MARK in each piece of its main text; if nameless, only paths, links, words and places tell it."""
+    word = lambda: "".join(r.choice("the an on re ti st ou ing der ion es la que en sch ar ció".split()) for _ in range(r.randint(1, 4)))
+    say = lambda a, b: " ".join(word() for _ in range(r.randint(a, b)))
+    main = lambda a, b: MARK + say(a, b)
 
     def aside(name: str) -> str:
         tag = name if name in ("nav", "header", "footer", "aside", "form", "menu") and r.random() < 0.6 else r.choice(("div", "section", "ul", "div"))
         attr = "" if tag == name else f' {r.choice(("class", "id", "class", "role"))}="{name}{r.choice(("", "", "-box", " wide", "_1"))}"'
         kind = r.random()
+        if nameless:
+            tag, attr, kind = r.choice(("div", "section", "ul", "div")), f' class="{word()}"' * (r.random() < 0.5), r.choice((0, 0, 1))
         head = f"<h{r.randint(2, 4)}>{say(1, 4)}</h2>" if r.random() < 0.3 else ""
         if kind < 0.4:
             inner = "".join(f'<li><a href="/{i}">{say(1, 3)}</a></li>' for i in range(r.randint(1, 7)))
@@ -278,31 +400,33 @@ def made_up_page(r: random.Random) -> str:
         elif kind < 0.7:
             inner = "".join(f"<p>{say(4, 40)}.</p>" for _ in range(r.randint(1, 4)))
         else:
-            inner = f"{say(2, 20)}."
+            inner = f"{say(1, 4)}" if nameless else f"{say(2, 20)}."
         return f"<{tag}{attr}>{head if tag != 'ul' else ''}{inner}</{tag}>"
 
     def body() -> str:
-        out = [f"<h1>{say(3, 10)}</h1>"] if r.random() < 0.8 else []
-        for _ in range(r.randint(1, 12)):
+        out = [f"<h1>{main(3, 10)}</h1>"] if r.random() < 0.8 else []
+        for _ in range(r.randint(3 if nameless else 1, 12)):
             kind = r.random()
             if kind < 0.75:
-                out.append(f"<p>{'<b>' * (r.random() < 0.15)}{say(1, 60)}.{'<br>' * (r.random() < 0.2)}{'</p>' * (r.random() < 0.9)}")
+                out.append(f"<p>{'<b>' * (r.random() < 0.15)}{main(12 if nameless else 1, 60)}.{'<br>' * (r.random() < 0.2)}{'</p>' * (r.random() < 0.9)}")
             elif kind < 0.82:
-                out.append(f"<h2>{say(1, 6)}</h2>")
+                out.append(f"<h2>{main(1, 6)}</h2>")
             elif kind < 0.88:
-                out.append("<ul>" + "".join(f"<li>{say(2, 12)}</li>" for _ in range(r.randint(1, 5))) + "</ul>")
+                out.append("<ul>" + "".join(f"<li>{main(2, 12)}</li>" for _ in range(r.randint(1, 5))) + "</ul>")
             elif kind < 0.92:
-                out.append(f"<blockquote>{say(5, 30)}</blockquote>")
+                out.append(f"<blockquote>{main(5, 30)}</blockquote>")
             elif kind < 0.95:
-                out.append(f"<table><tr><td>{say(1, 4)}</td><td>{say(1, 4)}</td></tr></table>")
-            else:
+                out.append(f"<table><tr><td>{main(1, 4)}</td><td>{main(1, 4)}</td></tr></table>")
+            elif not nameless:
                 out.append(aside(r.choice(ASIDE[2:])))
         return "".join(out)
 
     style = r.random()
     core = f"<article>{body()}</article>" if style < 0.6 else f"<main>{body()}</main>" if style < 0.8 else f'<div class="{r.choice(MAIN)}">{body()}</div>'
     kind = r.random()
-    if style < 0.6 and kind < 0.3:
+    if nameless:
+        core = f"<div{f' id="{word()}"' * (style < 0.5)}>{body()}</div>"
+    elif style < 0.6 and kind < 0.3:
         beside = "".join(aside(r.choice(ASIDE[2:])) for _ in range(r.randint(0, 3)))
         core = f"<main>{core}{beside}</main>" if r.random() < 0.5 else f"<main>{beside}{core}</main>"
     elif style < 0.6 and kind < 0.5:
@@ -312,14 +436,19 @@ def made_up_page(r: random.Random) -> str:
     return f"<!DOCTYPE html><html><head><title>{say(2, 8)}</title></head><body>{before}{core}{after}</body></html>"
 
 
+def training_pages(r: random.Random, count: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Vectors and labels of so many made-up pages."""
+    made = [known(made_up_page(r, r.random() < NAMELESS)) for _ in range(count)]
+    return [(vectors(f), y) for f, y in made]
+
+
 def fit(pages: DataFrame) -> BiLstm:
     """A network trained on made-up pages and a bounded sample of the table's."""
     r = random.Random(SEED)
     ids = pages.where("html is not null").select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE)
     # SAMPLE numbers are broadcast, and SAMPLE pages come back, however many rows repeat a page_id
     some = pages.select("page_id", "html").join(F.broadcast(ids), "page_id").groupBy("page_id").agg(F.min("html").alias("html")).orderBy("page_id").collect()
-    found = [blocks(made_up_page(r)) for _ in range(PAGES)] + [blocks(x.html) for x in some]
-    return BiLstm().train([(vectors(f), teach(f)) for f in found])
+    return BiLstm().train(training_pages(r, PAGES) + [(vectors(f)[:LONG], teach(f)[:LONG]) for f in (blocks(x.html) for x in some)])
 
 
 def extract(pages: DataFrame, model: BiLstm) -> DataFrame:
@@ -334,7 +463,7 @@ def extract(pages: DataFrame, model: BiLstm) -> DataFrame:
             raw = b.column("html").to_pylist()
             for i in range(0, len(raw), 512):
                 found = [blocks(x) for x in raw[i : i + 512]]
-                for f, keep in zip(found, net.label([vectors(x) for x in found]), strict=True):
+                for f, keep in zip(found, net.label(found), strict=True):
                     texts.append("\n".join(x[1] for x, k in zip(f, keep, strict=True) if k))
             yield pa.record_batch([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
