@@ -178,11 +178,14 @@ def canonical_line(col: Column | str) -> Column:
     c = F.regexp_replace(_c(col), R.BLANK_RUN, "░")
     c = F.regexp_replace(c, "[0-9०-९]+", "#")
     c = F.regexp_replace(c, r"(?U)\s+", "")
-    # pieces are runs of two or more marks, which are sorted, or single characters
-    pieces = F.regexp_extract_all(c, F.lit(rf"(?s)({_MARKS}{{2,}}|.)"), F.lit(1))
-    order = F.transform(pieces, lambda p: F.when(F.length(p) > 1, F.array_join(F.array_sort(F.filter(F.split(p, ""), lambda x: x != "")), "")).otherwise(p))
-    c = F.when(c.rlike(_MARKS + "{2}"), F.array_join(order, "")).otherwise(c)
-    return F.regexp_replace(c, r"\A[ ,।;:.]+|[ ,।;:.]+\z", "")
+
+    def sort_marks(x: Column) -> Column:
+        # pieces are runs of two or more marks, which are sorted, or single characters
+        pieces = F.regexp_extract_all(x, F.lit(rf"(?s)({_MARKS}{{2,}}|.)"), F.lit(1))
+        order = F.transform(pieces, lambda p: F.when(F.length(p) > 1, F.array_join(F.array_sort(F.filter(F.split(p, ""), lambda y: y != "")), "")).otherwise(p))
+        return F.when(x.rlike(_MARKS + "{2}"), F.array_join(order, "")).otherwise(x)
+
+    return F.regexp_replace(let(c, sort_marks), r"\A[ ,।;:.]+|[ ,।;:.]+\z", "")
 
 
 def iso_date(col: Column | str) -> Column:

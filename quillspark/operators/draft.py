@@ -127,7 +127,7 @@ def draft(requests: DataFrame, retrieved: DataFrame, skeletons: DataFrame, model
     done = done.withColumn("invented", T.unsupported_numbers("body", F.concat_ws(" ", F.col("request"), F.array_join("exemplars", " "))))
     own = skeletons.withColumn("_own", F.lit(True))
     fallback = skeletons.where("cell = ''").select(*(F.col(c).alias(f"_{c}") for c in ("before", "salutation", "after"))).limit(1)
-    done = done.join(F.broadcast(own), "cell", "left").join(F.broadcast(fallback), F.lit(True), "left")
+    done = done.join(own, "cell", "left").join(F.broadcast(fallback), F.lit(True), "left")
     pick = lambda c: F.when(F.col("_own"), F.col(c)).otherwise(F.col(f"_{c}"))
     done = done.withColumn("letter", assemble(F.col("body"), pick("before"), pick("salutation"), pick("after"), F.col("subject"), F.col("number"), F.col("on")))
     cuts, rest, strict = T.QUALITY_CUTS

@@ -26,7 +26,7 @@ def cells(letters: DataFrame, cell: list[str], floor: int = MIN_CELL) -> DataFra
 
 def lines(letters: DataFrame, cell: list[str], key: str = "doc_id") -> DataFrame:
     """(cell..., key, idx, total, line, canon) of each line of four or more characters in cells with enough letters."""
-    big = letters.join(F.broadcast(cells(letters, cell)).select(*cell), cell, "left_semi")
+    big = letters.join(cells(letters, cell).select(*cell), cell, "left_semi")
     parts = F.split("text", LINE_END)
     parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
     rows = big.select(*cell, key, parts.alias("p")).select(*cell, key, F.greatest(F.size("p"), F.lit(1)).alias("total"), F.posexplode("p").alias("idx", "raw"))
@@ -45,7 +45,7 @@ def upper_median(values: DataFrame, by: list[str], value: str, name: str) -> Dat
 def boilerplate(rows: DataFrame, sizes: DataFrame, cell: list[str], key: str = "doc_id", share: float = SHARE) -> DataFrame:
     """(cell..., canon, letters, n): canonical lines in at least max(2, share of n) letters of a cell."""
     in_letters = rows.where("canon <> ''").groupBy(*cell, "canon", key).agg(F.lit(1).alias("one")).groupBy(*cell, "canon").agg(F.count("*").alias("letters"))
-    return in_letters.join(F.broadcast(sizes), cell).where(F.col("letters") >= F.greatest(F.lit(2), F.floor(F.col("n") * F.lit(share))))
+    return in_letters.join(sizes, cell).where(F.col("letters") >= F.greatest(F.lit(2), F.floor(F.col("n") * F.lit(share))))
 
 
 def modal_literal(rows: DataFrame, found: DataFrame, cell: list[str], key: str = "doc_id") -> DataFrame:
@@ -88,7 +88,7 @@ def blank_labels(letters: DataFrame, sizes: DataFrame, cell: list[str], share: f
     """(cell..., label, n): labels that stand before a fill-in run in enough letters' texts."""
     label = F.explode(F.regexp_extract_all("text", F.lit(rf"([ऀ-ॿ]{{2,16}})\s*[:ः]?\s*{R.BLANK_RUN}"), F.lit(1)))
     k = letters.select(*cell, label.alias("label")).groupBy(*cell, "label").agg(F.count("*").alias("times"))
-    return k.join(F.broadcast(sizes), cell).where(F.col("times") >= F.greatest(F.lit(2), F.floor(F.col("n") * F.lit(share)))).select(*cell, "label", "times")
+    return k.join(sizes, cell).where(F.col("times") >= F.greatest(F.lit(2), F.floor(F.col("n") * F.lit(share)))).select(*cell, "label", "times")
 
 
 def skeletons(letters: DataFrame, cell: list[str], key: str = "doc_id", floor: int = MIN_CELL) -> DataFrame:

@@ -8,13 +8,15 @@ SQL states the values that were worked out by hand.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import classify, draft, fields, fonts, gold, retrieve, segment, store, templates
+from ..operators import classify, draft, fields, fonts, gold, postings, retrieve, segment, store, templates
 from ..sources import archive
 from ..streaming import ingest
 from . import fixtures as X
@@ -195,9 +197,15 @@ def visarga_repair(spark, d):
     return rows.select("id", text.alias("text"), n.alias("n"))
 
 
-@query(r"SELECT doc_id, 0.0::DOUBLE AS ratio, length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS letters FROM documents")
+_MIXED_SQL = "translate(text, 'aeoiu', 'अएओइउ')"
+
+
+@query(rf"""SELECT doc_id, round(CASE WHEN letters = 0 THEN 0 ELSE deva / letters::DOUBLE END, 9) AS ratio, letters FROM (SELECT doc_id, length(regexp_replace({_MIXED_SQL}, '[^\p{{L}}]', '', 'g')) AS letters,
+  length(regexp_replace({_MIXED_SQL}, '[^अएओइउ]', '', 'g')) AS deva FROM documents)""")
 def script_ratio(spark, d):
-    return _t(spark, d, "documents").select("doc_id", T.script_ratio("text").alias("ratio"), F.regexp_count("text", F.lit(r"\p{L}")).cast("long").alias("letters"))
+    """Of texts whose vowels are Devanagari letters."""
+    mixed = F.translate("text", "aeoiu", "अएओइउ")
+    return _t(spark, d, "documents").select("doc_id", F.round(T.script_ratio(mixed), 9).alias("ratio"), F.regexp_count(mixed, F.lit(r"\p{L}")).cast("long").alias("letters"))
 
 
 @query(_values([(i, v) for i, _, v in X.BROKEN], "id, violations"))
@@ -233,8 +241,10 @@ def vocab_df(spark, d):
 
 @query(f"SELECT doc_id, round(count(v.word) / count(*), 6) AS hit_rate FROM (SELECT doc_id, unnest({_TOKENS_SQL}) AS word FROM documents) LEFT JOIN ({_VOCAB_SQL}) v USING (word) GROUP BY 1")
 def vocab_hit_rate(spark, d):
+    # the vocabulary comes from the same counts, whose exchange is reused
     words = _t(spark, d, "documents").select("doc_id", F.explode(T.tokens("text")).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("c"))
-    met = words.join(_vocabulary(spark, d).select("word", F.lit(1).alias("hit")), "word", "left")
+    known = words.groupBy("word").agg(F.count("*").alias("n")).where("n >= 3").select("word", F.lit(1).alias("hit"))
+    met = words.join(known, "word", "left")
     return met.groupBy("doc_id").agg(F.round(F.sum(F.when(F.col("hit") == 1, F.col("c")).otherwise(0)) / F.sum("c"), 6).alias("hit_rate"))
 
 
@@ -289,10 +299,15 @@ def token_estimate(spark, d):
     return _t(spark, d, "documents").select("doc_id", T.token_estimate("text").alias("tokens"))
 
 
-@query(_values([(1, 0), (2, 1), (3, 3), (4, 1)], "id, distance"))
+_ASCII = "regexp_replace(text, '[^ -~]', '', 'g')"
+
+
+@query(f"SELECT conv_id AS id, levenshtein(arg_min({_ASCII}, turn), arg_max({_ASCII}, turn))::INTEGER AS distance FROM conversations WHERE text IS NOT NULL GROUP BY conv_id")
 def edit_distance(spark, d):
-    rows = [(1, "same", "same"), (2, "कर्म", "करम"), (3, "kitten", "sitting"), (4, "", "a")]
-    return _rows(spark, rows, "id int, a string, b string").select("id", F.levenshtein("a", "b").alias("distance"))
+    """Between the first and last turn of each conversation, of their ASCII characters, as DuckDB's distance counts bytes."""
+    ascii_ = F.regexp_replace("text", "[^ -~]", "")
+    ends = _t(spark, d, "conversations").where("text is not null").groupBy(F.col("conv_id").alias("id")).agg(F.min_by(ascii_, "turn").alias("a"), F.max_by(ascii_, "turn").alias("b"))
+    return ends.select("id", F.levenshtein("a", "b").alias("distance"))
 
 
 def _exchanges(spark, d):
@@ -307,9 +322,15 @@ def effort_score(spark, d):
     return store.record_dispatch(e.select("id", "draft_text"), e.where("text is not null").select("id", "text")).select("id", F.round("effort", 6).alias("effort"))
 
 
-@query(_values([(Long(5), 0.04, 4.0, Long(1), Long(4))], "n, median, p90, failed, as_drafted"))
+_EFFORT = "round(length(text) / 5000.0::DOUBLE, 4)"
+
+
+@query(f"""WITH e AS (SELECT {_EFFORT} v FROM conversations WHERE role = 'assistant'), s AS (SELECT list_sort(list(v)) x, count(*) n FROM e),
+m AS (SELECT count(*) FILTER (v > 0.7) failed, count(*) FILTER (v <= 0.1) as_drafted FROM e)
+SELECT n, (x[(n - 1) // 2 + 1] + x[n // 2 + 1]) / 2 AS median, CASE WHEN n >= 10 THEN x[round_even(0.9::DOUBLE * n, 0)::BIGINT] ELSE x[n] END AS p90, failed, as_drafted FROM s, m""")
 def effort_summary(spark, d):
-    return store.effort_summary(_rows(spark, [(0.02,), (0.03,), (0.05,), (0.04,), (4.0,)], "effort double"))
+    """Of the lengths of all assistant turns, as shares of 5,000 characters, in the effort's place."""
+    return store.effort_summary(_t(spark, d, "conversations").where("role = 'assistant'").select(F.round(F.length("text") / 5000.0, 4).alias("effort")))
 
 
 @query("""SELECT conv_id AS id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (role = 'assistant'), ''), '[0-9०-९]{2,}'),
@@ -335,6 +356,35 @@ def _requests(spark, d):
     return _t(spark, d, "benchmark").select(F.col("item_id").alias("query"), "text")
 
 
+def _shared(spark) -> str:
+    """The cluster's shared folder; on one machine, where none is set, a temporary one."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+_INDEXES: dict[tuple, str] = {}
+
+
+def _indexed(spark, d) -> str:
+    """The folder of the stored postings of a data folder's documents, which are built once a session."""
+    docs = _letters(spark, d)
+    key = (spark.sparkContext.applicationId, *sorted(docs.inputFiles()))
+    if key not in _INDEXES:
+        folder = f"{_shared(spark)}/postings-{uuid.uuid4().hex}"
+        postings.build(docs, folder)
+        _INDEXES[key] = folder
+    return _INDEXES[key]
+
+
+def _bm25(spark, d, queries):
+    return retrieve.bm25_scores(*postings.load(spark, _indexed(spark, d)), queries)
+
+
 _BM25_WITH = f"""tok AS (SELECT doc_id doc, {_TOKENS_SQL} t FROM documents), st AS (SELECT count(*) n, avg(len(t)) a FROM tok), lens AS (SELECT doc, len(t) l FROM tok),
 post AS (SELECT doc, term, count(*) tf FROM (SELECT doc, unnest(t) term FROM tok) GROUP BY ALL), dfs AS (SELECT term, count(*) df FROM post GROUP BY 1)"""
 
@@ -350,13 +400,29 @@ _ASKED = "SELECT item_id query, text FROM benchmark"
 
 @query(f"WITH {_BM25_WITH}, {_bm25_sql(_ASKED)} SELECT query, doc, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS INTEGER) rank FROM bm) WHERE rank <= 5")
 def bm25_topk(spark, d):
-    return retrieve.top(retrieve.bm25(_letters(spark, d), _requests(spark, d)), 5)
+    return retrieve.top(_bm25(spark, d, _requests(spark, d)), 5)
+
+
+_REFRESHED = """(SELECT CASE WHEN doc_id % 7 = 1 THEN doc_id + 1000000 ELSE doc_id END doc_id, CASE WHEN doc_id % 5 = 0 THEN text || ' changed word' ELSE text END AS text
+  FROM documents WHERE doc_id % 7 <> 2)"""
+
+
+@query(f"SELECT term, count(*) AS df, sum(tf)::BIGINT AS n FROM (SELECT doc_id, term, count(*) tf FROM (SELECT doc_id, unnest({_TOKENS_SQL}) term FROM {_REFRESHED}) GROUP BY ALL) GROUP BY 1")
+def index_refresh(spark, d):
+    """The stored postings after letters were removed, moved to new ids and changed, without indexing the others anew."""
+    docs, folder = _letters(spark, d).select("doc", "text"), _indexed(spark, d)
+    new = F.when(F.col("doc") % 5 == 0, F.concat("text", F.lit(" changed word"))).otherwise(F.col("text"))
+    moved = docs.where("doc % 7 = 1").select((F.col("doc") + 1_000_000).alias("doc"), new.alias("text"))
+    changed = docs.where("doc % 5 = 0 and doc % 7 <> 1 and doc % 7 <> 2").select("doc", new.alias("text"))
+    to = f"{_shared(spark)}/postings-{uuid.uuid4().hex}"
+    postings.refresh(spark, folder, changed.unionByName(moved), docs.where("doc % 7 in (1, 2)"), to)
+    return postings.load(spark, to)[0].groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
 
 
 @query(f"""WITH {_BM25_WITH}, {_bm25_sql(_ASKED)}, raw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) r FROM bm) WHERE r <= 40)
 SELECT query, doc, score, rank FROM (SELECT query, doc, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS INTEGER) rank FROM raw JOIN documents ON doc = doc_id WHERE lang = 'en') WHERE rank <= 5""")
 def bm25_filtered(spark, d):
-    return retrieve.bm25_filtered(_letters(spark, d), _requests(spark, d), F.col("lang") == "en", 5)
+    return retrieve.bm25_filtered(_letters(spark, d), _requests(spark, d), F.col("lang") == "en", 5, found=_bm25(spark, d, _requests(spark, d)))
 
 
 def _with_subject(docs):
@@ -370,23 +436,30 @@ def _grams_sql(source: str, key: str, lo: int, hi: int, most: int) -> str:
 
 
 _SUBJECTS = "SELECT doc_id doc, concat(split_part(text, chr(10), 1), ' ', split_part(text, chr(10), 1), ' ', text) text FROM documents"
-_TFIDF_WITH = f"""g AS ({_grams_sql(_SUBJECTS, 'doc', 3, 5, 1500)}), idf AS (SELECT gram, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 idf FROM g GROUP BY 1),
+_FNV_SQL = "CAST(list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split({}, ''), lambda c: unicode(c)::BIGINT)), lambda a, x: (xor(a, x) * 16777619) & 4294967295) % 32768 AS INTEGER)"
+
+
+def _buckets_sql(grams: str, key: str) -> str:
+    """Counts of n-grams as counts of their buckets."""
+    return f"SELECT {key}, bucket gram, sum(c)::BIGINT c FROM ({grams}) JOIN (SELECT gram, {_FNV_SQL.format('gram')} bucket FROM (SELECT DISTINCT gram FROM ({grams}))) USING (gram) GROUP BY ALL"
+
+
+_TFIDF_WITH = f"""g0 AS ({_grams_sql(_SUBJECTS, 'doc', 3, 5, 1500)}), g AS ({_buckets_sql('FROM g0', 'doc')}), idf AS (SELECT gram, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 idf FROM g GROUP BY 1),
 w0 AS (SELECT doc, gram, (1 + ln(c)) * idf w FROM g JOIN idf USING (gram)), nd AS (SELECT doc, sqrt(sum(w * w)) nn FROM w0 GROUP BY 1), dw AS (SELECT doc, gram, w / nn w FROM w0 JOIN nd USING (doc))"""
-_TFIDF_Q = f"""gq AS ({_grams_sql(_ASKED, 'query', 3, 5, 1500)}), q0 AS (SELECT query, gram, (1 + ln(c)) * idf w FROM gq JOIN idf USING (gram)), nq AS (SELECT query, sqrt(sum(w * w)) nn FROM q0 GROUP BY 1),
+_TFIDF_Q = f"""gq0 AS ({_grams_sql(_ASKED, 'query', 3, 5, 1500)}), gq AS ({_buckets_sql('FROM gq0', 'query')}), q0 AS (SELECT query, gram, (1 + ln(c)) * idf w FROM gq JOIN idf USING (gram)), nq AS (SELECT query, sqrt(sum(w * w)) nn FROM q0 GROUP BY 1),
 tf AS (SELECT query, doc, round(sum(dw.w * q0.w / nn), 6) score FROM q0 JOIN nq USING (query) JOIN dw USING (gram) GROUP BY ALL)"""
 
 
 @query(f"WITH {_TFIDF_WITH} SELECT doc, count(*) AS grams, round(max(w), 6) AS most, round(sum(w), 4) AS total FROM dw GROUP BY 1")
 def tfidf_weights(spark, d):
     docs = _with_subject(_letters(spark, d))
-    counts = retrieve.gram_counts(docs)
-    w = retrieve.tfidf_weights(counts, retrieve.idf(counts, docs))
-    return w.groupBy("doc").agg(F.count("*").alias("grams"), F.round(F.max("w"), 6).alias("most"), F.round(F.sum("w"), 4).alias("total"))
+    w = retrieve.tfidf_weights(docs, retrieve.idf(docs))
+    return w.where("size(w) > 0").select("doc", F.size("w").cast("long").alias("grams"), F.round(F.array_max("w"), 6).alias("most"), F.round(F.aggregate("w", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
 @query(f"WITH {_TFIDF_WITH}, {_TFIDF_Q} SELECT query, doc, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS INTEGER) rank FROM tf) WHERE rank <= 5")
 def tfidf_topk(spark, d):
-    return retrieve.top(retrieve.tfidf(_with_subject(_letters(spark, d)), _requests(spark, d)), 5)
+    return retrieve.top(retrieve.tfidf(_with_subject(_letters(spark, d)), _requests(spark, d), 5), 5)
 
 
 @query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) v FROM embeddings), s AS (SELECT q.vec_id query, c.vec_id doc, round(list_dot_product(c.v, q.v) / (sqrt(list_dot_product(c.v, c.v)) * sqrt(list_dot_product(q.v, q.v))), 6) score
@@ -403,14 +476,14 @@ fused AS (SELECT query, doc, round(sum(1.0::DOUBLE / (60 + rank)), 9) score FROM
 @query(f"WITH {_BM25_WITH}, {_bm25_sql(_ASKED)}, {_TFIDF_WITH}, {_TFIDF_Q}, {_FUSED_SQL} SELECT * FROM fused")
 def rrf_fuse(spark, d):
     docs, q = _letters(spark, d), _requests(spark, d)
-    return retrieve.rrf({"bm25": retrieve.top(retrieve.bm25(docs, q), 30), "tfidf": retrieve.top(retrieve.tfidf(_with_subject(docs), q), 30)}).drop("ranks")
+    return retrieve.rrf({"bm25": retrieve.top(_bm25(spark, d, q), 30), "tfidf": retrieve.top(retrieve.tfidf(_with_subject(docs), q, 30), 30)}).drop("ranks")
 
 
 @query(f"""WITH {_BM25_WITH}, {_bm25_sql(_ASKED)}, {_TFIDF_WITH}, {_TFIDF_Q}, {_FUSED_SQL}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS INTEGER) rank FROM fused)
 SELECT query, doc, score, rank, lang, source FROM r JOIN documents ON doc = doc_id WHERE rank <= 5""")
 def hybrid_search(spark, d):
     docs, q = _letters(spark, d), _requests(spark, d)
-    fused = retrieve.rrf({"bm25": retrieve.top(retrieve.bm25(docs, q), 30), "tfidf": retrieve.top(retrieve.tfidf(_with_subject(docs), q), 30)})
+    fused = retrieve.rrf({"bm25": retrieve.top(_bm25(spark, d, q), 30), "tfidf": retrieve.top(retrieve.tfidf(_with_subject(docs), q, 30), 30)})
     return retrieve.top(fused, 5).join(docs.select("doc", "lang", "source"), "doc").select("query", "doc", "score", "rank", "lang", "source")
 
 
@@ -423,14 +496,14 @@ def _eval_queries(spark, d):
     docs = _letters(spark, d)
     big = docs.groupBy("lang", "source").agg(F.count("*").alias("n")).where("n >= 5")
     q = docs.where("doc % 50 = 0").withColumn("text", F.substring_index("text", "\n", 1)).where("length(text) >= 12")
-    return q.join(F.broadcast(big), ["lang", "source"]).select(F.col("doc").alias("query"), "text")
+    return q.join(big, ["lang", "source"]).select(F.col("doc").alias("query"), "text")
 
 
 @query("SELECT doc_id AS doc, count(*) OVER (PARTITION BY lang, source) - 1 AS mates FROM documents")
 def cell_mates(spark, d):
     docs = _letters(spark, d)
     n = docs.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    return docs.join(F.broadcast(n), ["lang", "source"]).select("doc", (F.col("n") - 1).alias("mates"))
+    return docs.join(n, ["lang", "source"]).select("doc", (F.col("n") - 1).alias("mates"))
 
 
 _KNOWN_SQL = f"""WITH {_BM25_WITH}, {_bm25_sql(_EVAL_SQL)}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) rank FROM bm QUALIFY rank <= 5)
@@ -441,14 +514,14 @@ FROM ({_EVAL_SQL}) q LEFT JOIN r ON q.query = r.query AND r.doc = q.query"""
 @query(_KNOWN_SQL)
 def eval_known_item(spark, d):
     q = _eval_queries(spark, d)
-    return retrieve.known_item(retrieve.top(retrieve.bm25(_letters(spark, d), q), 5), q)
+    return retrieve.known_item(retrieve.top(_bm25(spark, d, q), 5), q)
 
 
 @query(f"""WITH {_BM25_WITH}, {_bm25_sql(_EVAL_SQL)}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) rank FROM bm WHERE query <> doc QUALIFY rank <= 5), p AS (SELECT query, avg(CASE WHEN a.lang = b.lang AND a.source = b.source THEN 1.0 ELSE 0.0 END) p
 FROM r JOIN documents a ON r.doc = a.doc_id JOIN documents b ON r.query = b.doc_id GROUP BY 1) SELECT count(*) AS n, round(avg(p), 6) AS p5 FROM p""")
 def eval_same_cell_p5(spark, d):
     docs = _letters(spark, d)
-    found = retrieve.bm25(docs, _eval_queries(spark, d)).where("query <> doc")
+    found = _bm25(spark, d, _eval_queries(spark, d)).where("query <> doc")
     return retrieve.same_cell(retrieve.top(found, 5), docs.select("doc", F.concat_ws("/", "lang", "source").alias("cell")))
 
 
@@ -464,7 +537,9 @@ def degrade_queries(spark, d):
     return retrieve.degrade(_requests(spark, d)).select("query", "text")
 
 
-@query(f"""SELECT query, doc, rank FROM (SELECT q.query, doc_id doc, CAST(row_number() OVER (PARTITION BY q.query ORDER BY md5(q.query || '-' || doc_id) DESC, doc_id) AS INTEGER) rank FROM ({_EVAL_SQL}) q JOIN documents ON doc_id <> q.query) WHERE rank <= 5""")
+@query(f"""WITH p AS (SELECT doc_id doc, row_number() OVER (ORDER BY doc_id) - 1 pos FROM documents),
+j AS (SELECT query, j, ((query % 1000003 + 1) * 7919 + j * 104729 + ((query % 1009 + 3) * j * j * 31) % 611953) % (SELECT count(*) FROM documents) pos FROM ({_EVAL_SQL}) q, range(24) t(j)),
+m AS (SELECT query, doc, min(j) j FROM j JOIN p USING (pos) WHERE doc <> query GROUP BY ALL) SELECT query, doc, CAST(row_number() OVER (PARTITION BY query ORDER BY j) AS INTEGER) rank FROM m QUALIFY rank <= 5""")
 def random_baseline(spark, d):
     return retrieve.random_baseline(_letters(spark, d), _eval_queries(spark, d))
 
@@ -596,10 +671,24 @@ def _roles(spark, d):
     return rows, templates.roles(found, templates.modal_literal(rows, found, _CELLS), templates.positions(rows, found, _CELLS), _CELLS)
 
 
-@query(f"WITH {_POS_WITH}, {_MODAL} SELECT lang, source, canon, pos, CAST(4 AS INTEGER) AS rank, length(literal) > 120 AS is_body FROM pos JOIN modal USING (lang, source, canon)")
+_FRAMED = "(SELECT doc_id, lang, source, 'कार्यालय जिला पदाधिकारी' || chr(10) || 'पत्रांक ' || doc_id || chr(10) || text || chr(10) || 'विश्वासभाजन' AS text FROM documents)"
+#: Its landmarks: the office's line is of rank 0, the letter number's of rank 1, the closing's of rank 9.
+#: In a canonical line marks are in order, so the anusvara comes before the vowel sign.
+_FRAMED_SQL = f"""WITH {_POS_WITH.replace('FROM documents', f'FROM {_FRAMED}').replace(f'{_CANON_SQL} canon', f"replace({_CANON_SQL}, 'ां', 'ंा') canon")}, {_MODAL},
+rl AS (SELECT *, CASE WHEN literal = 'कार्यालय जिला पदाधिकारी' THEN 0 WHEN literal LIKE 'पत्रांक %' THEN 1 WHEN literal = 'विश्वासभाजन' THEN 9 END role FROM pos JOIN modal USING (lang, source, canon)),
+mk AS (SELECT lang, source, role r, pos p FROM rl WHERE role IS NOT NULL),
+nr AS (SELECT l.lang, l.source, l.canon, arg_min(r, (round(abs(p - l.pos), 9), r)) near, max(p) FILTER (r = 9) closing_pos FROM rl l JOIN mk USING (lang, source) GROUP BY ALL)
+SELECT lang, source, canon, pos, coalesce(role, near)::INTEGER AS rank, length(literal) > 120 OR (role IS NULL AND near >= 9 AND pos < closing_pos) AS is_body FROM rl JOIN nr USING (lang, source, canon)"""
+
+
+@query(_FRAMED_SQL)
 def skeleton_roles(spark, d):
-    """No line of the Latin-script tables is a landmark, so all are unanchored; landmarks are in the fixtures' query."""
-    return _roles(spark, d)[1].select("lang", "source", "canon", "pos", "rank", "is_body")
+    """Of the documents between an office's line, a letter number and a closing: the rank of the nearest landmark."""
+    docs = _t(spark, d, "documents").withColumn("text", F.concat(F.lit("कार्यालय जिला पदाधिकारी\nपत्रांक "), F.col("doc_id").cast("string"), F.lit("\n"), F.col("text"), F.lit("\nविश्वासभाजन")))
+    rows = templates.lines(docs, _CELLS)
+    found = templates.boilerplate(rows, templates.cells(docs, _CELLS), _CELLS)
+    kept = templates.roles(found, templates.modal_literal(rows, found, _CELLS), templates.positions(rows, found, _CELLS), _CELLS)
+    return kept.select("lang", "source", "canon", "pos", "rank", "is_body")
 
 
 @query(f"WITH {_LINES_WITH}, {_MODAL}, hit AS (SELECT lang, source, doc_id, avg(CASE WHEN f.literal IS NULL OR length(f.literal) > 120 THEN 0 ELSE 1 END) s FROM rows_ r LEFT JOIN modal f USING (lang, source, canon) GROUP BY ALL) SELECT lang, source, count(*) AS letters, round(avg(s), 6) AS coverage FROM hit GROUP BY ALL")
@@ -614,10 +703,10 @@ def _cell_of_letters(spark):
     return _rows(spark, [(i, "क", "ख", "\n".join([*X.LETTER_1[:2], *X.LETTER_1[5:7], f"यह {b} निवेदन है कि कार्य समय पर पूरा हो।", *X.LETTER_1[8:]])) for i, b in enumerate(body)], "doc_id long, lang string, source string, text string")
 
 
-@query(_values([("दिनांक", Long(8))], "label, times"))
+@query(_values([("दिनांक", Long(8)), ("पत्रांक", Long(8))], "label, times"))
 def blank_labels(spark, d):
     letters = _cell_of_letters(spark)
-    return templates.blank_labels(letters, templates.cells(letters, _CELLS), _CELLS).where("label <> 'पत्रांक'").select("label", "times")
+    return templates.blank_labels(letters, templates.cells(letters, _CELLS), _CELLS).select("label", "times")
 
 
 @query(_values([(0, X.LETTER_1[0], False), (1, X.LETTER_1[1], False), (5, X.LETTER_1[5], False), (7, X.LETTER_1[6], False), (9, X.LETTER_1[8], False), (9, X.LETTER_1[9], False)], "rank, literal, is_body"))
@@ -638,18 +727,18 @@ def _split(spark):
     return segment.segment(_rows(spark, X.DOCUMENTS, "doc_id int, text string"))
 
 
-@query(_values([(1, 0, 0, 11, "file-start"), (1, 1, 11, 22, "header-after-close"), (2, 0, 0, 6, "file-start"), (3, 0, 0, 1, "file-start"), (5, 0, 0, 7, "file-start"), (5, 1, 7, 17, "repeated-subject")], "doc_id, seq, start_line, end_line, opened_by"))
+@query(_values([(1, 0, 0, 11, "file-start"), (1, 1, 11, 22, "header-after-close"), (2, 0, 0, 6, "file-start"), (3, 0, 0, 1, "file-start"), (5, 0, 0, 7, "file-start"), (5, 1, 7, 17, "repeated-subject"), (6, 0, 0, 10, "file-start"), (7, 0, 0, 11, "file-start")], "doc_id, seq, start_line, end_line, opened_by"))
 def segment_boundaries(spark, d):
     return _split(spark).select("doc_id", "seq", "start_line", "end_line", "opened_by")
 
 
-@query(_values([(1, 1, 2, 2), (1, 0, 1, 0), (5, 1, 1, 0), (5, 0, 1, 0)], "doc_id, seq, numbers, distributions"))
+@query(_values([(1, 1, 2, 1, 1), (1, 0, 1, 0, 1), (5, 1, 1, 0, 1), (5, 0, 1, 0, 1), (6, 0, 1, 0, 2), (7, 0, 2, 0, 1)], "doc_id, seq, numbers, distributions, subjects"))
 def merge_runts(spark, d):
     n = lambda k: F.coalesce(F.try_element_at("anchors", F.lit(k)), F.lit(0))
-    return _split(spark).where("doc_id in (1, 5)").select("doc_id", "seq", n("letter_number").alias("numbers"), (n("distribution") * 2).alias("distributions"))
+    return _split(spark).where("doc_id not in (2, 3)").select("doc_id", "seq", n("letter_number").alias("numbers"), n("distribution").alias("distributions"), n("subject").alias("subjects"))
 
 
-@query(_values([(1, 0, "letter"), (1, 1, "letter"), (2, 0, "order"), (3, 0, "fragment"), (5, 0, "letter"), (5, 1, "letter")], "doc_id, seq, form"))
+@query(_values([(1, 0, "letter"), (1, 1, "letter"), (2, 0, "order"), (3, 0, "fragment"), (5, 0, "letter"), (5, 1, "letter"), (6, 0, "letter"), (7, 0, "letter")], "doc_id, seq, form"))
 def form_detect(spark, d):
     return _split(spark).select("doc_id", "seq", segment.form(F.col("text"), F.col("anchors")).alias("form"))
 
@@ -671,7 +760,7 @@ def trust_score(spark, d):
     return rows.select("id", F.round(segment.trust(F.col("c"), F.col("k"), F.col("tier")) * 10000).cast("long").alias("trust"))
 
 
-@query(_values([("file-start", Long(4), 0.666667), ("header-after-close", Long(1), 0.166667), ("repeated-subject", Long(1), 0.166667)], "opened_by, n, share"))
+@query(_values([("file-start", Long(6), 0.75), ("header-after-close", Long(1), 0.125), ("repeated-subject", Long(1), 0.125)], "opened_by, n, share"))
 def anchor_audit(spark, d):
     return segment.audit(_split(spark))
 
@@ -805,14 +894,19 @@ def prompt_budget(spark, d):
     return rows.select("query", "p.tokens", "p.dropped")
 
 
-@query("SELECT item_id AS id, regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g') <> '' AS has_letter FROM benchmark")
+_LETTER_SQL = "'" + "' || chr(10) || '".join([X.HEAD, "पत्रांक--------------------/रा०, दिनांक 01.01.2024", "विषय:- विषय ' || item_id || '।", "महाशय,", "", "निवेदन है कि कार्य पूरा किया जाय।", "", "विश्वासभाजन", "जिला पदाधिकारी"]) + "'"
+
+
+@query(f"""WITH {_BM25_WITH}, {_bm25_sql(_ASKED)}, k AS (SELECT query, least(count(*), 3) n FROM bm GROUP BY 1)
+SELECT item_id AS id, {_LETTER_SQL} AS letter, coalesce(n, 0)::INTEGER AS sources, coalesce(n, 0) = 0 AS needs_review FROM benchmark LEFT JOIN k ON query = item_id""")
 def draft_letters(spark, d):
-    """Drafts for each benchmark text with a stub in the model's place."""
-    requests = _t(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("request"), F.lit("विषय").alias("subject"), F.lit("क/ख").alias("cell"), F.lit(None).cast("string").alias("number"), F.lit("01.01.2024").alias("on"))
+    """Drafts for each benchmark text from its three best documents, with a stub in the model's place."""
+    requests = _t(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("request"), F.concat(F.lit("विषय "), F.col("item_id").cast("string")).alias("subject"), F.lit("क/ख").alias("cell"), F.lit(None).cast("string").alias("number"), F.lit("01.01.2024").alias("on"))
     skeleton = _rows(spark, [("क/ख", X.LETTER_1[:2], [X.LETTER_1[6]], X.LETTER_1[8:]), ("", [], [], [])], "cell string, before array<string>, salutation array<string>, after array<string>")
-    none = _rows(spark, [], "id long, rank int, text string")
-    out = draft.draft(requests, none, skeleton, lambda prompts: ["निवेदन है कि कार्य पूरा किया जाय।"] * len(prompts), 100)
-    return out.select("id", (F.contains("letter", F.lit("निवेदन है")) & F.contains("letter", F.lit("दिनांक 01.01.2024")) & F.col("needs_review")).alias("has_letter"))
+    docs = _letters(spark, d)
+    hits = retrieve.top(_bm25(spark, d, _requests(spark, d)), 3).join(docs.select("doc", "text"), "doc").select(F.col("query").alias("id"), "rank", "text")
+    out = draft.draft(requests, hits, skeleton, lambda prompts: ["निवेदन है कि कार्य पूरा किया जाय।"] * len(prompts), 100)
+    return out.select("id", "letter", F.size("exemplars").alias("sources"), "needs_review")
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01')::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

@@ -17,13 +17,16 @@ LETTER_2 = [
 ENDORSEMENT = ["ज्ञापांक 46/स्था०, दिनांक 05.03.2021", "प्रतिलिपि:- कोषागार पदाधिकारी को सूचनार्थ प्रेषित।"]
 ORDER = ["आदेश", "आदेश संख्या 12, दिनांक 01.02.2020"] + ["कार्य हित में निम्नलिखित कर्मियों को तत्काल प्रभाव से प्रतिनियुक्त किया जाता है।"] * 4
 #: (doc_id, text): two letters and an endorsement with page furniture; an order; a runt; blank lines; two letters without a
-#: closing between them, of which the second begins at the line above its letterhead, as that names an office too.
+#: closing between them, of which the second begins at the line above its letterhead, as that names an office too; a line too
+#: short to be a letter before one, and one after one, which both belong to it.
 DOCUMENTS = [
     (1, "\n".join([*LETTER_1, "- 2 -", *LETTER_2, *ENDORSEMENT])),
     (2, "\n".join(ORDER)),
     (3, HEAD),
     (4, "\n\n"),
     (5, "\n".join([*LETTER_1[:8], *LETTER_2])),
+    (6, "\n".join(["विषय:- सूचना।", *LETTER_2])),
+    (7, "\n".join([*LETTER_1, "पत्रांक 99/रा०, दिनांक 01.01.2020"])),
 ]
 #: (id, line, anchors in rule order)
 TAGGED = [
