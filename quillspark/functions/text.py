@@ -133,6 +133,13 @@ def tidy_punctuation(col: Column | str) -> Column:
     return F.regexp_replace(c, r"([,;:।])(?=[\u0900-\u097FA-Za-z])", "$1 ")
 
 
+def repair(col: Column | str) -> Column:
+    """struct(text, visarga_to_colon, punctuation_tidied): both repairs, how many visargas, and whether punctuation changed."""
+    text, n = visarga_to_colon(col)
+    one = lambda x: F.struct(tidy_punctuation(x).alias("text"), n.alias("visarga_to_colon"), (tidy_punctuation(x) != x).cast("int").alias("punctuation_tidied"))
+    return let(text, one)
+
+
 #: Word classes, each its own: index tokens, query words, vocabulary words, alignment words.
 INDEX_TOKEN = r"[\p{L}\p{N}\p{Mn}\p{Mc}\p{Co}]+"
 QUERY_WORD = "[ऀ-ॣ०-९ॲ-ॿA-Za-z0-9]+"

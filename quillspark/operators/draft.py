@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as T
+from . import classify
 
 CONTEXT, RESERVE, LEAST, FERTILITY, EXEMPLARS, EXEMPLAR_TOKENS, THIN = 4096, 900, 256, 1.97, 3, 260, 30
 _LINES = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
@@ -112,6 +113,22 @@ def needs_review(invented: Column, truncated: Column, verdict: Column, sources:
     return (F.size(invented) > 0) | truncated | (verdict != "clean") | (sources == 0) | (letters < THIN)
 
 
+def classify_requests(requests: DataFrame, classifier: classify.TrainedClassifier | None = None) -> DataFrame:
+    """requests (doc, text) -> (doc, department, department_source, letter_type, letter_type_source): by rules first, by the model where they say nothing."""
+    b = classify.by_rules(requests.select("doc", "text"), "b")
+    rules = b.select("doc", *(x for c in ("department", "letter_type") for x in (F.nullif(F.col(f"b.{c}"), F.lit(R.UNLABELLED)).alias(c), F.col(f"b.{c}_source").alias(f"{c}_source"))))
+    rules = rules.withColumns({f"{c}_source": F.when(F.col(c).isNull(), "none").otherwise(F.col(f"{c}_source")) for c in ("department", "letter_type")})
+    if classifier is None:
+        return rules
+    p = classifier.predict(requests.select("doc", "text"))
+    p = p.select("doc", *(F.col(c).alias(f"_{c}") for c in p.columns if c != "doc"))
+    both = rules.join(p, "doc", "left")
+    said = lambda c: F.concat(F.lit("model ("), F.format_number(F.col(f"_{c}_confidence"), 2), F.lit(")"))
+    return both.select(
+        "doc", *(x for c in ("department", "letter_type") for x in (F.coalesce(c, F.col(f"_{c}")).alias(c), F.when(F.col(c).isNull() & F.col(f"_{c}").isNotNull(), said(c)).otherwise(F.col(f"{c}_source")).alias(f"{c}_source")))
+    )
+
+
 def draft(requests: DataFrame, retrieved: DataFrame, skeletons: DataFrame, model: Callable[[list[str]], list[str]], letters: int) -> DataFrame:
     """Drafts for requests (id, request, subject, cell, number, on).
 

@@ -126,6 +126,22 @@ def convert_document(docs: DataFrame, tables: dict[str, FontTable], runs: str =
     return docs.withColumn("text", T.normalise(F.array_join(F.transform(runs, block), "\n"), True))
 
 
+def table_usage(docs: DataFrame, runs: str = "blocks", force: str | None = None, rescue: bool = True) -> DataFrame:
+    """(table, chars): the characters that each table converts, those that pass through and the Latin ones that are kept as they are."""
+    of = (lambda f: F.lit(force)) if force else (lambda f: font_table(f)["table"])
+    r = docs.select(F.explode(runs).alias("b")).select(F.explode(coalesce_runs(F.col("b"), of)).alias("r")).select("r.text", "r.table")
+    latin = F.aggregate(misfonted_latin("text"), F.lit(0), lambda a, x: a + F.length(x)) if rescue else F.lit(0)
+    own = F.when(F.col("table").isNull(), F.array(F.struct(F.lit("(passthrough)").alias("table"), F.length("text").alias("n"))))
+    own = own.otherwise(F.array(F.struct(F.col("table").alias("table"), (F.length("text") - latin).alias("n")), F.struct(F.lit("(rescued-latin)").alias("table"), latin.alias("n"))))
+    return r.select(F.explode(own).alias("x")).where("x.n > 0").groupBy("x.table").agg(F.sum("x.n").alias("chars"))
+
+
+def list_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """(name) of a folder's tables, in order."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tsv").load(folder)
+    return files.select(F.regexp_extract("path", r"([^/]+)\.tsv$", 1).alias("name")).orderBy("name")
+
+
 def accuracy(pairs: DataFrame, table: FontTable) -> DataFrame:
     """n, exact, char_accuracy over gold pairs (legacy, expected)."""
     got = pairs.select(convert("legacy", table)["text"].alias("got"), T.normalise("expected", True).alias("want"))

@@ -180,3 +180,28 @@ def audit(segments: DataFrame) -> DataFrame:
     """(opened_by, n, share): what opened the letters."""
     n = segments.groupBy("opened_by").agg(F.count("*").alias("n"))
     return n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("total")))).select("opened_by", "n", F.round(F.col("n") / F.col("total"), 6).alias("share"))
+
+
+def anchor_counts(segments: DataFrame) -> DataFrame:
+    """(anchor, lines, letters): how many lines have each anchor, and how many letters."""
+    rows = segments.select(F.explode("anchors").alias("anchor", "k"))
+    return rows.groupBy("anchor").agg(F.sum("k").cast("long").alias("lines"), F.count("*").alias("letters"))
+
+
+def shares(scored: DataFrame, column: str) -> DataFrame:
+    """(column, n, share) of forms, verdicts or causes."""
+    n = scored.groupBy(column).agg(F.count("*").alias("n"))
+    return n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("total")))).select(column, "n", F.round(F.col("n") / F.col("total"), 6).alias("share"))
+
+
+def outliers(segments: DataFrame, key: str = "doc_id", times: float = 5.0) -> DataFrame:
+    """(key, seq, chars, p95, merged): letters of over ``times`` the 95th percentile of lengths; merged if they have two closings or subjects."""
+    rows = segments.select(key, "seq", F.length("text").alias("chars"), ((_count_of("closing") >= 2) | (_count_of("subject") >= 2)).alias("merged"), F.lit(1).alias("_all"))
+    from .store import index_percentiles  # which imports this module
+
+    p95 = index_percentiles(rows, "_all", "chars", {"p95": 0.95}).select("p95")  # one row
+    return rows.crossJoin(F.broadcast(p95)).where(F.col("chars") > times * F.col("p95")).select(key, "seq", "chars", "p95", "merged")
+
+
+def _count_of(name: str) -> Column:
+    return F.coalesce(F.try_element_at("anchors", F.lit(name)), F.lit(0))

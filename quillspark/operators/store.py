@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import fields, segment
 
 
 def with_hash(df: DataFrame) -> DataFrame:
@@ -51,6 +52,51 @@ def correct(letters: DataFrame, fixes: DataFrame, key: str = "doc_id") -> DataFr
     return with_hash(out.drop("text_hash")) if "text_hash" in letters.columns else out
 
 
+def correct_and_score(letters: DataFrame, fixes: DataFrame, key: str = "doc_id", tier: str = "source_tier") -> DataFrame:
+    """Letters with corrected texts judged anew: subject, quality, form, completeness, missing, trust, verdict, violations and hash.
+
+    Form and completeness are those of the first letter that the corrected text splits into;
+    a correction without any text is none. letters has these columns, or gets them as nulls.
+    """
+    derived = {
+        "subject": "string", "conversion_confidence": "double", "completeness": "double", "trust": "double", "verdict": "string", "form": "string",
+        "violations": "map<string,int>", "missing": "array<string>",
+    }
+    letters = migrate(letters, derived | {"text_hash": "string"})
+    strip = F.regexp_replace("text", r"(?U)\A\s+|\s+\z", "")
+    new = fixes.select(key, strip.alias("text")).where("text <> ''").join(letters.select(key, F.col(tier).alias("_tier")), key)
+    first = segment.segment(new, key).where("seq = 0").select(key, F.col("text").alias("_part"), "anchors")
+    rows = new.join(first, key, "left").withColumn("subject", fields.extract(F.col("text"))["subject"]["value"]).withColumn("conversion_confidence", T.quality("text")).withColumn("violations", T.violations("text"))
+    rows = rows.withColumn("form", F.when(F.col("_part").isNotNull(), segment.form(F.col("_part"), F.col("anchors"))))
+    rows = rows.withColumn("completeness", F.coalesce(segment.completeness(F.col("form"), F.col("anchors"), F.col("_part")), F.lit(0.0)))
+    rows = rows.withColumn("missing", F.coalesce(segment.missing(F.col("form"), F.col("anchors")), F.array().cast("array<string>")))
+    rows = rows.withColumn("trust", segment.trust(F.col("conversion_confidence"), F.col("completeness"), F.col("_tier")))
+    cuts, rest, strict = T.SEGMENT_CUTS
+    rows = with_hash(rows.withColumn("verdict", T.bucket("trust", cuts, rest, strict)))
+    return refresh(letters, rows.select(key, "text", "text_hash", *(F.col(c).cast(t).alias(c) for c, t in derived.items())), key, ["text", "text_hash", *derived])
+
+
+def record_drafts(drafts: DataFrame, folder: str) -> DataFrame:
+    """Appends drafts to a folder, those that are never sent as well; the same rows with their ids."""
+    rows = drafts.withColumn("id", F.sha2(F.to_json(F.struct(*drafts.columns)), 256))
+    rows.write.mode("append").parquet(folder)
+    return rows
+
+
+def browse(letters: DataFrame, verdict: str | None = None, form: str | None = None, limit: int = 50, key: str = "doc_id") -> DataFrame:
+    """Letters of a verdict and a form, where these are given, in order of trust."""
+    out = letters
+    for column, value in (("verdict", verdict), ("form", form)):
+        if value is not None:
+            out = out.where(F.col(column) == value)
+    return out.orderBy("trust", key).limit(limit)
+
+
+def count(letters: DataFrame, verdict: str | None = None) -> DataFrame:
+    """How many letters there are, of a verdict if one is given."""
+    return (letters if verdict is None else letters.where(F.col("verdict") == verdict)).agg(F.count("*").alias("n"))
+
+
 def keep(min_trust: float = 0.0, department: str | None = None, letter_type: str | None = None, exclude: tuple = (), columns=("trust", "department", "letter_type", "id")) -> Column:
     """The retrieval filter: null trust or label never passes a test on it."""
     trust, dept, kind, key = columns

@@ -117,6 +117,39 @@ def read_text(files: DataFrame) -> DataFrame:
     return files.select("path", text_blocks(decode("content")).alias("blocks"))
 
 
+def from_text(spark: SparkSession, text: str, name: str = "-") -> DataFrame:
+    """(path, blocks) of a single text, such as standard input."""
+    return spark.createDataFrame([(name, text)], "path string, text string").select("path", text_blocks(F.col("text")).alias("blocks"))
+
+
+def tools(names: tuple[str, ...] = ("tesseract", "pdftotext", "pdftoppm")) -> dict[str, str | None]:
+    """Where this machine has the programs that scanned files need, if it has them."""
+    import shutil
+
+    return {n: shutil.which(n) for n in names}
+
+
+def languages(listing: str) -> list[str]:
+    """The languages that an OCR program says it knows: a heading, then one a line."""
+    return sorted({x.strip() for x in listing.splitlines()[1:] if x.strip() and " " not in x.strip()})
+
+
+def read_with(files: DataFrame, kind: str, reader) -> DataFrame:
+    """(path, text, confidence, error) of the files of a kind by a function from bytes to (text, confidence), such as an OCR program's."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in parts:
+            out = []
+            for path, content in zip(df.path, df.content, strict=True):
+                try:
+                    out.append((path, *reader(bytes(content)), None))
+                except Exception as e:  # a file that can't be read is a row, not the job's end
+                    out.append((path, None, None, f"unreadable: {e}"))
+            yield pd.DataFrame(out, columns=["path", "text", "confidence", "error"])
+
+    return files.where(F.col("kind") == kind).select("path", "content").mapInPandas(run, "path string, text string, confidence double, error string")
+
+
 def font_histogram(docs: DataFrame) -> DataFrame:
     """(font, chars, share) over the archive."""
     runs = docs.select(F.explode(F.flatten("blocks")).alias("r")).groupBy(F.coalesce("r.font", F.lit("?")).alias("font")).agg(F.sum(F.length("r.text")).alias("chars"))

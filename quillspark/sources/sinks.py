@@ -25,6 +25,32 @@ def write_tsv(df: DataFrame, folder: str) -> None:
     df.write.mode("overwrite").csv(folder, sep="\t", header=True)
 
 
+def gold_lines(pairs: DataFrame, table: str, note: str = "") -> DataFrame:
+    """(value): a gold file's lines, a comment that says what it is and then legacy TAB expected TAB table TAB note."""
+    head = pairs.sparkSession.createDataFrame([(0, f"# gold pairs of {table}"), (1, "# legacy\texpected\ttable\tnote")], "n int, value string")
+    rows = pairs.select(F.concat_ws("\t", "legacy", "expected", F.lit(table), F.lit(note)).alias("value"))
+    return head.orderBy("n").select("value").unionByName(rows)
+
+
+def review_rows(candidates: DataFrame) -> DataFrame:
+    """What a reviewer is shown: (id, verdict_or_correction, legacy, suggested, blind, table, font, source, novel_slots); a blind row hides its suggestion."""
+    empty = F.lit("")
+    extra = [F.col(c).cast("string").alias(c) if c in candidates.columns else empty.alias(c) for c in ("table", "font", "source", "novel_slots")]
+    return candidates.select("id", empty.alias("verdict_or_correction"), "legacy", F.when(F.col("blind"), "").otherwise(F.col("suggested")).alias("suggested"), F.when(F.col("blind"), "yes").otherwise("").alias("blind"), *extra)
+
+
+def prune(spark: SparkSession, folder: str, keep: int) -> list[str]:
+    """Removes all but the ``keep`` last snapshots of a folder, in order of name; the names of those removed."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = sorted(x.getPath().getName() for x in fs.listStatus(at) if x.isDirectory())
+    gone = names[: max(len(names) - keep, 0)]
+    for n in gone:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}"), True)
+    return gone
+
+
 def safe_name(department: Column, letter_type: Column) -> Column:
     return F.concat(F.regexp_replace(department, r'[\\/:*?"<>|\s]', "_"), F.lit("_"), F.regexp_replace(letter_type, r'[\\/:*?"<>|\s]', "_"), F.lit(".md"))
 
