@@ -15,12 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset, as in a
-    single-machine test, a temporary one is made.
+    It is the session's ``spark.checkpoint.dir``. Only on a single machine, as in a test,
+    may that be unset, and a temporary one is made; on a cluster it is an error, as
+    executors don't see each other's temporary folders.
     """
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return sc.getCheckpointDir()
 
 
