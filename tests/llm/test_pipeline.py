@@ -90,3 +90,20 @@ def test_odd_rows(spark, small):
     got = sorted((str(x.doc_id), x.text or "") for x in docs.collect())
     assert got == sorted([("1", ""), ("4", long), ("5", "one two"), ("5", "three four"), ("6", "x"), ("None", "a null id")])
     assert corpus_pipeline.pack(spark, docs, small).count() > 5 and corpus_pipeline.pack(spark, docs.limit(0), small).count() == 0
+
+
+def test_copies_of_one_text(spark, small):
+    """Copies that are near their original, but mostly not near each other, leave one of each group, whatever the order."""
+    r = random.Random(1)
+    texts, groups = [], []
+    for g, m in enumerate([2, 3, 5, 10, 40, 3, 10, 40]):
+        base = [f"w{r.randrange(10**6)}" for _ in range(120)]
+        copies = [[*base] for _ in range(m)]
+        for c in copies:
+            for _ in range(2):
+                c[r.randrange(120)] = f"x{r.randrange(10**6)}"
+        copies.insert(r.randrange(m + 1), base)
+        texts += [" ".join(c) for c in copies]
+        groups += [g] * len(copies)
+    out = corpus_pipeline.drop_near_copies(spark, table_of(spark, list(enumerate(texts))), small)
+    assert sorted(groups[x.doc_id] for x in out.collect()) == list(range(8))
