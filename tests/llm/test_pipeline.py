@@ -2,8 +2,10 @@
 
 import random
 
+import pytest
+
 import corpus_pipeline
-from quillspark.llm import decontaminate, simhash
+from quillspark.llm import decontaminate, nearcopies, simhash
 
 
 def test_stages(spark, small):
@@ -107,3 +109,46 @@ def test_copies_of_one_text(spark, small):
         groups += [g] * len(copies)
     out = corpus_pipeline.drop_near_copies(spark, table_of(spark, list(enumerate(texts))), small)
     assert sorted(groups[x.doc_id] for x in out.collect()) == list(range(8))
+
+
+def drifting(r, groups, each, most):
+    """Texts of 100 words, of each group with 1 to most words of one original changed."""
+    texts = []
+    for _ in range(groups):
+        base = [f"w{r.randrange(10**6)}" for _ in range(100)]
+        for _ in range(each):
+            texts.append([*base])
+            for _ in range(r.randrange(1, most + 1)):
+                texts[-1][r.randrange(100)] = f"x{r.randrange(10**6)}"
+    return texts
+
+
+def least_of_classes(texts):
+    """The first text of each class that pairs at a similarity of 0.8, or op2's links, connect, by brute force."""
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    prints = [simhash.fingerprint(" ".join(t)) for t in texts]
+    to = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            shared = len(a & sets[j])
+            if to[i] != to[j] and (10 * shared >= 8 * (len(a) + len(sets[j]) - shared) or (prints[i] ^ prints[j]).bit_count() <= 2):
+                old, new = max(to[i], to[j]), min(to[i], to[j])
+                to = [new if x == old else x for x in to]
+    return set(to)
+
+
+def test_near_copies_of_copies(spark, small):
+    """Texts that are near each other, but one of them not near the text that the others were copied from, are linked."""
+    texts = drifting(random.Random(11), 40, 40, 7)
+    out = corpus_pipeline.drop_near_copies(spark, table_of(spark, [(i, " ".join(t)) for i, t in enumerate(texts)]), small)
+    assert {x.doc_id for x in out.collect()} == least_of_classes(texts)
+
+
+@pytest.mark.parametrize("large", [8192, 8])
+def test_hot_buckets(spark, small, monkeypatch, large):
+    """Buckets that are dealt in blocks give the same classes, whether few or many of their texts are left unlinked."""
+    monkeypatch.setattr(nearcopies, "BLOCK", 8)
+    monkeypatch.setattr(nearcopies, "LARGE", large)
+    texts = drifting(random.Random(12), 4, 120, 9)
+    out = corpus_pipeline.drop_near_copies(spark, table_of(spark, [(i, " ".join(t)) for i, t in enumerate(texts)]), small)
+    assert {x.doc_id for x in out.collect()} == least_of_classes(texts)
