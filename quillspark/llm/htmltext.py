@@ -29,9 +29,9 @@ from __future__ import annotations
 import html
 import random
 import re
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -46,15 +46,14 @@ PAGES, SAMPLE, EPOCHS, BATCH, SEED = 1200, 160, 8, 32, 11
 #: Share of made-up pages without telling names; deepest element that a path has; blocks of a page that are labelled together; what main text bears on made-up pages.
 NAMELESS, DEPTH, LONG, MARK = 0.25, 64, 2048, "\ue000"
 
-#: How a tag or comment begins.
-_OPEN = re.compile(r"<(?:!--|(/?)([a-zA-Z][a-zA-Z0-9:-]*)|[!?/])")
+#: How a tag or comment begins; a tag of a name alone ends there, too.
+_OPEN = re.compile(r"<(?:!--|(/?)([a-zA-Z][a-zA-Z0-9:-]*)(>)?|[!?/])")
 #: What ends a tag, or a quoted value in it.
 _TAG_END = re.compile(r"[>\"']")
 #: Elements whose content is never text.
 RAW = set("script style noscript template iframe svg textarea".split())
 _ATTR = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _NAME = re.compile(r"[a-z]+")
-_BLANK = re.compile(r"\s+")
 #: Elements without content, and those that begin a block.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = set(
@@ -70,19 +69,26 @@ _ASIDE = frozenset(ASIDE)
 
 
 class Path:
-    """An open element: its tag, the element around it, the nearest block element, and the names on the way from the top."""
+    """An open element: its tag, the element around it, the nearest block element around it if it is none itself, and the names on the way from the top.
 
-    __slots__ = ("around", "block", "depth", "link", "names", "tag")
+    None refers to itself, so that a page's elements are given up with the page, not by the garbage collector.
+    """
+
+    __slots__ = ("around", "depth", "link", "names", "tag", "within")
 
     def __init__(self, tag: str = "", names: tuple[str, ...] = (), around: Path | None = None):
         self.tag, self.around = tag, around
         self.depth = around.depth + 1 if around else 0
         self.link = bool(around) and (around.link or tag == "a")
-        self.block = self if tag in BLOCKS or around is None else around.block
+        self.within = None if tag in BLOCKS or around is None else around.block
         self.names: frozenset[str] = around.names if around else frozenset()
         if self.depth <= DEPTH and not self.names.issuperset(names):
             self.names = self.names.union(names)
 
+    @property
+    def block(self) -> Path:
+        return self.within or self
+
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
     """(kind, name, rest) in page order: text, open or close.
@@ -121,7 +127,8 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
                 at = k + 1
             continue
         # the tag ends at the first > outside quotes; a quote without an end is an ordinary character
-        at, end = m.end(), -1
+        at, end = m.end(), m.start(3)
+        after = at if end < 0 else end
         while end < 0 and "quotes" not in never:
             k = _TAG_END.search(page, at)
             if k is None:
@@ -132,12 +139,12 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
                 q = find(k[0], k.end())
                 at = k.end() if q < 0 else q + 1
         if end < 0:  # quotes don't match, so they count for nothing from here on
-            end = find(">", m.end())
+            end = find(">", after)
         if end < 0:
             yield "text", "", page[m.start() : m.end()]
             at = m.end()
             continue
-        name, rest = m[2].lower(), page[m.end() : end]
+        name, rest = m[2].lower(), page[after:end]
         at = end + 1
         if m[1]:
             yield "close", name, ""
@@ -169,7 +176,7 @@ def blocks(page: str | None) -> list[tuple[Path, str, int, int]]:
 
     def flush() -> None:
         if buf:
-            t = _BLANK.sub(" ", html.unescape("".join(buf))).strip()
+            t = " ".join(html.unescape("".join(buf)).split())
             if t:
                 out.append((top, t, links[0], max(links[1], 1)))
             buf.clear()
@@ -216,10 +223,20 @@ def blocks(page: str | None) -> list[tuple[Path, str, int, int]]:
     return out
 
 
-@lru_cache(maxsize=200_000)
-def _slot(word: str, width: int) -> tuple[int, float]:
-    h = zlib.crc32(word.encode("utf-8", "replace"))
-    return h % width, 1.0 if h >> 16 & 1 else -1.0
+class _Slots(dict):
+    """Twice a word's place among WORDS, plus one if it counts as 1; begun anew after ``KNOWN`` words, so that memory is bounded."""
+
+    KNOWN = 200_000
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.KNOWN:
+            self.clear()
+        h = crc32(word.encode("utf-8", "replace"))
+        slot = self[word] = h % WORDS * 2 + (h >> 16 & 1)
+        return slot
+
+
+_SLOTS = _Slots()
 
 
 @lru_cache(maxsize=20_000)
@@ -227,8 +244,8 @@ def _names_vector(names: frozenset[str]) -> np.ndarray:
     v = np.zeros(PATH, dtype=np.float32)
     for name in names:
         for salt in "ab":
-            i, s = _slot(salt + name, PATH)
-            v[i] += s
+            h = crc32((salt + name).encode("utf-8", "replace"))
+            v[h % PATH] += 1.0 if h >> 16 & 1 else -1.0
     return v
 
 
@@ -236,14 +253,22 @@ def vectors(found: list, at: int = 0, to: int | None = None) -> np.ndarray:
     """The input of the network: a row for each block of a page, or of those from ``at`` on."""
     some = found[at:to]
     x = np.zeros((len(some), INPUT), dtype=np.float32)
-    for i, (path, t, linked, chars) in enumerate(some):
+    if not some:
+        return x
+    slots, lengths = bytearray(), []
+    for i, (path, t, _, _) in enumerate(some):
         x[i, :PATH] = _names_vector(path.names)
         w = t.split()
-        for word in w:
-            k, s = _slot(word, WORDS)
-            x[i, PATH + k] += s
-        x[i, PATH : PATH + WORDS] /= 4 * len(w) ** 0.5
-        x[i, PATH + WORDS :] = (np.log1p(len(w)) / 5, linked / chars, len(t) / len(w) / 20, t.count(".") / len(w), (at + i) / len(found))
+        slots += bytes(map(_SLOTS.__getitem__, w))
+        lengths.append(len(w))
+    n = np.array(lengths)
+    # a block's words are counted by place and sign, in whole numbers, for all blocks at once
+    rows = np.repeat(np.arange(len(some)) * (2 * WORDS), n)
+    counts = np.bincount(rows + np.frombuffer(slots, np.uint8), minlength=len(some) * 2 * WORDS).reshape(-1, WORDS, 2)
+    x[:, PATH : PATH + WORDS] = counts[:, :, 1] - counts[:, :, 0]
+    x[:, PATH : PATH + WORDS] /= (4 * n**0.5).astype(np.float32)[:, None]
+    linked, chars, size, stops = np.array([(linked, chars, len(t), t.count(".")) for _, t, linked, chars in some]).T
+    x[:, PATH + WORDS :] = np.stack([np.log1p(n) / 5, linked / chars, size / n / 20, stops / n, (at + np.arange(len(some))) / len(found)], axis=1)
     return x
 
 

@@ -1,5 +1,6 @@
 """The operators against brute force, on the small tables and on fixtures of edge cases."""
 
+import gc
 import hashlib
 import random
 import re
@@ -463,6 +464,53 @@ def test_html_hostile_pages(part):
     assert max((len(p.names) for p, *_ in found), default=0) <= 5 * htmltext.DEPTH
 
 
+def test_html_vectors():
+    """Vectors are those of word after word, but a word known already takes no step; what is known of words is bounded, and a page leaves nothing to the garbage collector."""
+    say = lambda n: " ".join(f"wört{i * i % 97}." if i % 5 else "to" for i in range(n))
+    page = lambda n: f"<html><body><nav><ul><li><a href=x class='menu b'>Home</a></ul></nav><p>{say(n)}<p>{say(2 * n)} <a>x</a></html>"
+    found, steps = htmltext.blocks(page(60)), []
+    want = np.zeros((len(found), htmltext.INPUT), np.float32)
+    for i, (path, t, linked, chars) in enumerate(found):
+        w, c = t.split(), htmltext.PATH + htmltext.WORDS
+        for width, first, hashed in ((htmltext.PATH, 0, [a + x for x in path.names for a in "ab"]), (htmltext.WORDS, htmltext.PATH, w)):
+            for h in (zlib.crc32(x.encode()) for x in hashed):
+                want[i, first + h % width] += 1 if h >> 16 & 1 else -1
+        want[i, htmltext.PATH : c] /= np.float32(4 * len(w) ** 0.5)
+        want[i, c:] = np.log1p(len(w)) / 5, linked / chars, len(t) / len(w) / 20, t.count(".") / len(w), i / len(found)
+    assert len(found) == 3 and (htmltext.vectors(found) == want).all() and (htmltext.vectors(found, 1, 2) == want[1:2]).all()
+    for some in (htmltext.blocks(page(200)), htmltext.blocks(page(2000))):
+        seen = 0
+
+        def count(frame, event, arg):
+            nonlocal seen
+            seen += 1
+            return count
+
+        htmltext.vectors(some)
+        sys.settrace(count)
+        try:
+            htmltext.vectors(some)
+        finally:
+            sys.settrace(None)
+        steps.append(seen)
+    assert steps[1] <= steps[0] + 10
+    slots = htmltext._SLOTS
+    known, slots.KNOWN = slots.KNOWN, 10
+    try:
+        slots.clear()
+        assert (htmltext.vectors(found) == want).all() and len(slots) <= 10
+    finally:
+        slots.KNOWN = known
+    del some, path, found
+    gc.collect()
+    gc.disable()
+    try:
+        htmltext.blocks(page(5))
+        assert gc.collect() == 0
+    finally:
+        gc.enable()
+
+
 def test_html_long_page(spark):
     """A page is labelled in parts as it is in one; repeated page_ids are extracted each."""
     model = htmltext.BiLstm().train(htmltext.training_pages(random.Random(3), 60))
