@@ -83,3 +83,13 @@ def test_model_in_blocks(spark, small, monkeypatch):
     monkeypatch.setattr(grams, "BLOCK", 40_000)
     monkeypatch.setattr(grams, "AT_ONCE", 3_000)
     assert sorted((r.doc, r.label, round(r.score, 6)) for r in classify.nb_predict(counts, model, classes).collect()) == once
+
+
+def test_predictions_shuffle_no_grams_of_letters(spark, small):
+    def run(times):
+        docs = _letters(spark, small, times)
+        counts = classify.nb_counts(docs)
+        classify.nb_predict(counts, *classify.nb_fit(docs, counts)).collect()
+
+    one, four = (_shuffled(spark, lambda t=t: run(t)) for t in (1, 4))
+    assert four < 2 * one
