@@ -93,3 +93,12 @@ def test_predictions_shuffle_no_grams_of_letters(spark, small):
 
     one, four = (_shuffled(spark, lambda t=t: run(t)) for t in (1, 4))
     assert four < 2 * one
+
+
+def test_likelihoods_shuffle_no_grams_of_letters(spark, small):
+    def run(times):
+        docs = _letters(spark, small, times)
+        classify.nb_fit(docs, classify.nb_counts(docs))[0].collect()
+
+    one, four = (_shuffled(spark, lambda t=t: run(t)) for t in (1, 4))
+    assert four < 2 * one
