@@ -1,11 +1,12 @@
 """What is shuffled follows the input and not the pairs or n-grams made of it, and the same rows come out."""
 
+import math
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import classify, grams
+from quillspark.operators import classify, grams, postings, retrieve
 
 
 def _shuffled(spark, run):
@@ -102,3 +103,51 @@ def test_likelihoods_shuffle_no_grams_of_letters(spark, small):
 
     one, four = (_shuffled(spark, lambda t=t: run(t)) for t in (1, 4))
     assert four < 2 * one
+
+
+def _queries(docs, times):
+    return docs.where(f"doc % {times} = 0").select(F.col("doc").alias("query"), F.substring_index("text", "\n", 1).alias("text"))
+
+
+def test_bm25_shuffles_no_pairs(spark, small):
+    """Four times the letters and the queries, which is 16 times the pairs: rows in shuffles follow the queries."""
+
+    def run(times):
+        docs = _letters(spark, small, times)
+        retrieve.top(retrieve.bm25(docs, _queries(docs, 2), k=5), 5).collect()
+
+    one, four = (_shuffled(spark, lambda t=t: run(t)) for t in (1, 4))
+    assert four < 8 * one and one < 200 * 5 * 4
+
+
+@pytest.mark.parametrize("own", [True, False])
+def test_bm25_best(spark, small, monkeypatch, own):
+    """With k the best of each query as all scores have them, also in blocks of queries and of postings; copies tie."""
+    docs = _letters(spark, small, 2).repartition(3, "doc")
+    q = _queries(docs, 7)
+    found = retrieve.bm25(docs, q)
+    want = sorted(map(tuple, retrieve.top(found if own else found.where("query <> doc"), 4).collect()))
+    monkeypatch.setattr(retrieve, "ASKED", 20)
+    monkeypatch.setattr(retrieve, "HELD", 300)
+    post = postings.postings(docs)
+    got = retrieve.bm25_scores(post, postings.lengths(docs), q, k=4, own=own)
+    assert got.count() > len(want)
+    assert sorted(map(tuple, retrieve.top(got, 4).collect())) == want
+
+
+def test_bm25_by_brute_force(spark):
+    docs = [(1, "the cat the end"), (2, "the dog"), (3, ""), (4, None), (5, "a dog and a Cat")]
+    asked = [(1, "the cat, cat"), (2, "bird of"), (3, ""), (4, None), (5, "DOG")]
+    d, q = spark.createDataFrame(docs, "doc int, text string"), spark.createDataFrame(asked, "query int, text string")
+    words = {i: t.lower().split() for i, t in docs if t is not None}
+    mean = sum(map(len, words.values())) / len(words)
+    want = {}
+    for query, t in asked:
+        for w in (t or "").lower().replace(",", "").split():
+            df = sum(w in x for x in words.values())
+            for doc, x in words.items():
+                if w in x and len(w) > 1:
+                    tf = x.count(w)
+                    want[query, doc] = want.get((query, doc), 0) + max(1e-6, math.log((len(docs) - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(x) / mean))
+    got = {(r.query, r.doc): r.score for r in retrieve.bm25(d, q).collect()}
+    assert got == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()}
