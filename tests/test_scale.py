@@ -6,7 +6,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import classify, grams, postings, retrieve
+from quillspark.functions import text as T
+from quillspark.operators import classify, grams, postings, retrieve, templates
 
 
 def _shuffled(spark, run):
@@ -151,3 +152,40 @@ def test_bm25_by_brute_force(spark):
                     want[query, doc] = want.get((query, doc), 0) + max(1e-6, math.log((len(docs) - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(x) / mean))
     got = {(r.query, r.doc): r.score for r in retrieve.bm25(d, q).collect()}
     assert got == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()}
+
+
+def test_lines_shuffle_as_hashes(spark):
+    """Mining shuffles no lines: what it writes is far less than the texts, and repeats in a letter count once."""
+    rows = [(i, "x", "y", "\n".join([f"Shared heading {i}", *(f"own {chr(97 + i % 20)}{chr(97 + j)} " + " ".join(chr(97 + (i * 7 + j * 5 + k * k) % 26) * 8 for k in range(40)) for j in range(10)), *["twice"] * (i == 3) * 30])) for i in range(60)]
+    letters = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string").repartition(2).persist()
+    cell, kept = ["lang", "source"], []
+
+    def run():
+        near = templates.shared(templates.lines(letters, cell), templates.cells(letters, cell), cell)
+        kept.extend(templates.boilerplate(near, templates.cells(letters, cell), cell).collect())
+
+    letters.count()
+    store = spark.sparkContext._jsc.sc().statusStore()
+    array = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def size():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = store.stageList(None, False, False, array, None)
+        return {s.stageId(): s.shuffleWriteBytes() for s in (found.apply(i) for i in range(found.size()))}
+
+    before = size()
+    run()
+    assert [(r.canon, r.letters, r.n) for r in kept] == [("Sharedheading#", 60, 60)]
+    assert sum(n for k, n in size().items() if k not in before) < 0.25 * sum(len(r[3]) for r in rows)
+
+
+def test_hit_rates_shuffle_no_words_of_letters(spark, small, monkeypatch):
+    """As counted one by one, also with the vocabulary in blocks, and a row for each letter besides the words' counts."""
+    docs = _letters(spark, small, 2)
+    words = {r.doc: r.t for r in docs.select("doc", T.tokens("text").alias("t")).collect()}
+    df = Counter(w for t in words.values() for w in set(t))
+    want = {d: pytest.approx(sum(df[w] >= 3 for w in t) / len(t)) for d, t in words.items() if t}
+    monkeypatch.setattr(postings, "WORDS", 700)
+    got = {}
+    n = _shuffled(spark, lambda: got.update({r.doc: r.hit_rate for r in postings.hit_rates(postings.postings(docs), 3).collect()}))
+    assert got == want and n < 0.5 * sum(len(set(t)) for t in words.values())
