@@ -19,9 +19,16 @@ def line_role(col: Column) -> Column:
     return F.coalesce(*(F.when(R.search(col, R.anchor_pattern(n)), F.lit(R.ROLE_ORDER[n])) for n, *_ in R.ANCHORS if n in R.ROLE_ORDER))
 
 
+def measured(df: DataFrame) -> DataFrame:
+    """Few rows, kept so that Spark joins them by their measured size and leaves long texts where they are."""
+    df = df.persist()
+    df.count()
+    return df
+
+
 def cells(letters: DataFrame, cell: list[str], floor: int = MIN_CELL) -> DataFrame:
     """(cell..., n) of the cells with enough letters."""
-    return letters.groupBy(*cell).agg(F.count("*").alias("n")).where(F.col("n") >= floor)
+    return measured(letters.groupBy(*cell).agg(F.count("*").alias("n")).where(F.col("n") >= floor))
 
 
 def lines(letters: DataFrame, cell: list[str], key: str = "doc_id") -> DataFrame:
@@ -30,8 +37,20 @@ def lines(letters: DataFrame, cell: list[str], key: str = "doc_id") -> DataFrame
     parts = F.split("text", LINE_END)
     parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
     rows = big.select(*cell, key, parts.alias("p")).select(*cell, key, F.greatest(F.size("p"), F.lit(1)).alias("total"), F.posexplode("p").alias("idx", "raw"))
-    rows = rows.withColumn("line", F.regexp_replace("raw", r"(?U)\A\s+|\s+\z", "")).drop("raw").where(F.length("line") >= MIN_LINE)
-    return rows.withColumn("canon", T.canonical_line("line"))
+    rows = rows.withColumn("line", F.btrim("raw", F.lit(T.WHITE))).drop("raw").where(F.length("line") >= MIN_LINE)
+    # as a generator's column: an expression would be computed again in each filter and key
+    return rows.select("*", F.explode_outer(F.array(T.canonical_line("line"))).alias("canon"))
+
+
+def shared(rows: DataFrame, sizes: DataFrame, cell: list[str], share: float = SHARE) -> DataFrame:
+    """Of rows those that may be boilerplate, kept: lines whose hash stands in a cell as often as boilerplate is in letters.
+
+    Hashes are what is shuffled. Lines of equal hashes, or that a letter repeats, may be let
+    in; ``boilerplate`` compares and counts what is left exactly.
+    """
+    rows = rows.where("canon <> ''").withColumn("_h", F.xxhash64("canon"))
+    often = rows.groupBy(*cell, "_h").agg(F.count("*").alias("_k")).join(sizes, cell).where(F.col("_k") >= F.greatest(F.lit(2), F.floor(F.col("n") * F.lit(share))))
+    return rows.join(measured(often.select(*cell, "_h")), [*cell, "_h"], "left_semi").drop("_h").persist()
 
 
 def upper_median(values: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
@@ -95,8 +114,9 @@ def skeletons(letters: DataFrame, cell: list[str], key: str = "doc_id", floor: i
     """One row for each cell: its size, ordered boilerplate, blanks, coverage and upper-median length."""
     sizes = cells(letters, cell, floor)
     rows = lines(letters, cell, key)
-    found = boilerplate(rows, sizes, cell, key)
-    kept = roles(found, modal_literal(rows, found, cell, key), positions(rows, found, cell, key), cell)
+    near = shared(rows, sizes, cell)
+    found = boilerplate(near, sizes, cell, key)
+    kept = measured(roles(found, modal_literal(near, found, cell, key), positions(near, found, cell, key), cell))
     order = F.sort_array(F.collect_list(F.when(~F.col("is_body"), F.struct("rank", "pos", "canon", "literal", "letters"))))
     parts = kept.groupBy(*cell).agg(F.transform(order, lambda x: F.struct(x["canon"].alias("canonical"), x["letters"].alias("count"), x["literal"].alias("literal"), x["rank"].alias("role"))).alias("boilerplate"))
     blanks = blank_labels(letters, sizes, cell).groupBy(*cell).agg(F.sort_array(F.collect_list(F.struct((-F.col("times")).alias("neg"), "label"))).alias("b"))
